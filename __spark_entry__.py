@@ -398,8 +398,8 @@ def oracle_sql() -> dict[str, str]:
     window = "api_call_timestamp >= '2024-01-05 06:00:00' AND api_call_timestamp < '2024-01-20 18:00:00'"
     volume = """sum(share_volume) OVER (PARTITION BY product_id ORDER BY api_call_timestamp
                 RANGE BETWEEN INTERVAL {span} HOUR PRECEDING AND CURRENT ROW) AS recent_volume"""
-    change = """avg_share_price / lag(avg_share_price) OVER
-                (PARTITION BY product_id ORDER BY api_call_timestamp) - 1.0 AS price_change"""
+    change = """avg_share_price / nullif(lag(avg_share_price) OVER
+                (PARTITION BY product_id ORDER BY api_call_timestamp), 0) - 1.0 AS price_change"""
     cents = "sum(CAST(round(TRY_CAST(price AS DOUBLE) * 100) AS BIGINT))"
     return {
         "explode_ticks": f"{base} {ticks} ticks",

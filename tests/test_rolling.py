@@ -1,0 +1,68 @@
+import random
+from datetime import timedelta
+
+import pytest
+
+from tests.conftest import at
+from tickloom.operators import price_change, recent_volume, rolling_metrics
+from tickloom.schemas import METRICS_DDL
+
+
+def series(spark, seed=3, rows=400, step=90):
+    rng = random.Random(seed)
+    out = []
+    for product in ("A", "B", None):
+        moments = sorted(rng.sample(range(rows * step), rows))
+        for s in moments:
+            when = at("00:00:00") + timedelta(seconds=s)
+            out.append((when, product, 1, 0, 1, float(rng.randrange(1, 50)), float(rng.randrange(1, 50))))
+    # Values exactly one span apart and exactly on a block edge.
+    for s in (0, 3600, 7200, 28800, 32400):
+        out.append((at("00:00:00") + timedelta(days=9, seconds=s), "E", 1, 0, 1, 2.0, 4.0))
+    rng.shuffle(out)
+    return spark.createDataFrame(out, METRICS_DDL), out
+
+
+@pytest.mark.parametrize("span, spans_per_block", [("1 hour", 8), ("1 hour", 1), ("20 minutes", 2)])
+def test_recent_volume_against_brute_force(spark, span, spans_per_block):
+    metrics, rows = series(spark)
+    width = timedelta(hours=1) if span == "1 hour" else timedelta(minutes=20)
+    found = recent_volume(metrics, span, spans_per_block)
+    assert found.columns == [*metrics.columns, "recent_volume"]
+    got = {(r[0], r[1]): r["recent_volume"] for r in found.collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        expected = sum(o[5] for o in rows if o[1] == r[1] and r[0] - width <= o[0] <= r[0])
+        assert got[r[0].replace(tzinfo=None), r[1]] == expected
+
+
+@pytest.mark.parametrize("block", ["1 day", "10 minutes"])
+def test_price_change_against_brute_force(spark, block):
+    metrics, rows = series(spark)
+    found = price_change(metrics, block)
+    got = {(r[0], r[1]): r["price_change"] for r in found.collect()}
+    assert len(got) == len(rows)
+    for product in ("A", "B", None, "E"):
+        ordered = sorted(r for r in rows if r[1] == product)
+        previous = None
+        for r in ordered:
+            expected = None if previous is None else r[6] / previous - 1.0
+            assert got[r[0].replace(tzinfo=None), product] == expected
+            previous = r[6]
+
+
+def test_zero_price_gives_no_change(spark):
+    rows = [(at("00:00:00"), "A", 1, 0, 1, 1.0, 0.0), (at("00:00:01"), "A", 1, 0, 1, 1.0, 3.0)]
+    found = price_change(spark.createDataFrame(rows, METRICS_DDL)).collect()
+    assert [r["price_change"] for r in found] == [None, None]
+
+
+def test_missing_time_is_kept(spark):
+    rows = [(None, "A", 1, 0, 1, 1.0, 2.0), (at("00:00:01"), "A", 1, 0, 1, 1.0, 3.0)]
+    found = rolling_metrics(spark.createDataFrame(rows, METRICS_DDL))
+    assert found.count() == 2
+
+
+def test_windows_are_split_by_block(spark):
+    plan = rolling_metrics(series(spark)[0])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(product_id" in plan and "_block" in plan

@@ -35,5 +35,6 @@ def micros_of(interval: str) -> int:
 
 
 def block_of(column: str | Column, block: str) -> Column:
-    """Number of the ``block``-long stretch of time a timestamp lies in."""
-    return F.floor(F.unix_micros(_column(column)) / F.lit(micros_of(block))).cast("bigint")
+    """Start, in epoch microseconds, of the ``block``-long stretch around a time."""
+    at = F.unix_micros(_column(column))
+    return at - F.pmod(at, F.lit(micros_of(block)))

@@ -27,11 +27,12 @@ def recent_volume(
     only feed the sums; about one row in ``spans_per_block`` is copied.
     """
     width = micros_of(span)
-    block = f"{width * spans_per_block} microseconds"
+    length = width * spans_per_block
     at = F.unix_micros(time)
-    home = block_of(time, block)
-    reaches_next = at + F.lit(width) >= (home + 1) * F.lit(width * spans_per_block)
-    blocks = F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))
+    home = block_of(time, f"{length} microseconds")
+    following = home + F.lit(length)
+    reaches = at + F.lit(width) >= following
+    blocks = F.when(reaches, F.array(home, following)).otherwise(F.array(home))
     window = (
         Window.partitionBy("product_id", "_block").orderBy("_at").rangeBetween(-width, 0)
     )
@@ -40,7 +41,7 @@ def recent_volume(
         .withColumn("_home", home)
         .withColumn("_block", F.explode(blocks))
         .withColumn("recent_volume", F.sum("share_volume").over(window))
-        .where(F.col("_block") == F.col("_home"))
+        .where(F.col("_block").eqNullSafe(F.col("_home")))
         .drop("_at", "_home", "_block")
     )
 
@@ -50,32 +51,27 @@ def price_change(
 ) -> DataFrame:
     """Adds ``price_change``: price / previous price of the product - 1.
 
-    Null for a product's first row. The previous price lies in the same block
-    for all rows but a block's first; for that one it is the closing price of
-    the last earlier block that has rows, found on a table of one row per
-    (product, block).
+    Null for a product's first row and after a price of zero. The previous
+    price lies in the same block for all rows but a block's first. Those first
+    rows, one per (product, block), carry their block's closing price and look
+    it up among themselves. Both parts read the same shuffle.
     """
-    blocked = metrics.withColumn("_block", block_of(time, block))
     in_block = Window.partitionBy("product_id", "_block").orderBy(time)
-    closing = (
-        blocked.groupBy("product_id", "_block")
-        .agg(F.max_by("avg_share_price", time).alias("_close"))
-        .withColumn(
-            "_carried",
-            F.lag("_close").over(Window.partitionBy("product_id").orderBy("_block")),
-        )
-        .select(F.col("product_id").alias("_product"), F.col("_block").alias("_number"), "_carried")
-    )
-    same_block = F.col("product_id").eqNullSafe(F.col("_product")) & (
-        F.col("_block") == F.col("_number")
-    )
-    previous = F.when(F.col("_rank") == 1, F.col("_carried")).otherwise(F.col("_previous"))
-    ranked = blocked.withColumn("_rank", F.row_number().over(in_block)).withColumn(
-        "_previous", F.lag("avg_share_price").over(in_block)
+    whole_block = in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_product = Window.partitionBy("product_id").orderBy("_block")
+    placed = metrics.withColumn("_block", block_of(time, block)).withColumns(
+        {
+            "_opens": F.lag(F.lit(True)).over(in_block).isNull(),
+            "_previous": F.lag("avg_share_price").over(in_block),
+            "_closing": F.last("avg_share_price").over(whole_block),
+        }
     )
+    inside = placed.where(~F.col("_opens"))
+    opening = placed.where("_opens").withColumn("_previous", F.lag("_closing").over(of_product))
+    change = F.try_divide("avg_share_price", "_previous") - F.lit(1.0)
     return (
-        ranked.join(closing, same_block, "left")
-        .withColumn("price_change", F.try_divide("avg_share_price", previous) - F.lit(1.0))
+        inside.unionByName(opening)
+        .withColumn("price_change", change)
         .select(*metrics.columns, "price_change")
     )
 
@@ -83,5 +79,9 @@ def price_change(
 def rolling_metrics(
     metrics: DataFrame, span: str = "1 hour", time: str = EVENT_TIME
 ) -> DataFrame:
-    """Recent volume and price change together."""
-    return price_change(recent_volume(metrics, span, time=time), time=time)
+    """Recent volume and price change together.
+
+    The price change comes first: it reads its input twice, which is cheapest
+    straight above the aggregates, whose shuffle both readers share.
+    """
+    return recent_volume(price_change(metrics, time=time), span, time=time)

@@ -97,10 +97,11 @@ def session_settings(params: JobParams) -> dict[str, str]:
         settings["spark.sql.shuffle.partitions"] = str(params.state_partitions)
     if params.rocksdb:
         settings["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
+        rocksdb = "spark.sql.streaming.stateStore.rocksdb"
         # Upload only what a batch changed; full snapshots follow in the background.
-        settings[
-            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
-        ] = "true"
+        settings[f"{rocksdb}.changelogCheckpointing.enabled"] = "true"
+        # One memory budget per executor, however many state partitions it holds.
+        settings[f"{rocksdb}.boundedMemoryUsage"] = "true"
     return settings
 
 

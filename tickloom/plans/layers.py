@@ -78,9 +78,10 @@ def latest_rows(revisions: DataFrame, keys=TABLE_KEY) -> DataFrame:
     """The newest revision of every key: what an upserting store would hold.
 
     ``revisions`` carries ``batch_id``. The maximum is combined before the
-    shuffle, so a key with many revisions stays cheap.
+    shuffle, so a key with many revisions stays cheap. The date follows from
+    the key; grouping by it as well lets a date filter prune partitions.
     """
-    keys = list(keys)
+    keys = [*keys, *([DATE] if DATE in revisions.columns else [])]
     rest = [c for c in revisions.columns if c not in (*keys, BATCH)]
     newest = F.max_by(F.struct(*rest), BATCH).alias("newest")
     columns = [c for c in revisions.columns if c != BATCH]

@@ -30,7 +30,8 @@ def poll_time(seconds: int | None = POLL_SECONDS) -> Column:
     at = F.col("ts").cast("timestamp")
     if seconds is None:
         return at
-    return F.timestamp_seconds(F.floor(F.unix_seconds(at) / F.lit(seconds)) * F.lit(seconds))
+    whole = F.unix_seconds(at)
+    return F.timestamp_seconds(whole - F.pmod(whole, F.lit(seconds)))
 
 
 def trade(raw_numbers: bool = False, blank_sizes: bool = False) -> Column:
@@ -107,7 +108,7 @@ def event_records(
         F.col("sent.poll").alias("timestamp"),
         F.lit(0).alias("timestampType"),
         F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
-        (F.floor(F.unix_seconds("sent.poll") / F.lit(LAG_DAYS * 86400)) + delayed).alias("wave"),
+        (F.floor(F.unix_date(F.col("sent.poll").cast("date")) / LAG_DAYS) + delayed).alias("wave"),
     )
 
 
