@@ -1,0 +1,326 @@
+"""The scripted seven-file stream, restarts, retries and the sinks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import at, clock, shift, trade
+from tickloom.functions import parse_messages
+from tickloom.operators import unique_ticks
+from tickloom.params import JobParams
+from tickloom.plans import batch_layer, to_table_rows
+from tickloom.plans.layers import DATE, lookback
+from tickloom.sources import read_records, stream_records
+from tickloom.streaming import (
+    await_any,
+    compact_table,
+    dropped_late,
+    land_ticks,
+    read_landed_ticks,
+    read_revisions,
+    read_table,
+    run_to_end,
+    speed_metrics,
+    start_message_echo,
+    start_speed_layer,
+    state_rows,
+    tick_stream,
+)
+from tickloom.streaming.sinks import table_writer
+
+PARAMS = JobParams(lanes=1, max_files_per_trigger=1, state_partitions=2, rocksdb=False)
+
+SCRIPT = [
+    [("00:00:00", "a", "1"), ("00:00:00", "b", "2")],
+    [("00:00:01", "b", "2"), ("00:00:01", "c", "3")],
+    [("00:05:00", "d", "4")],
+    [("00:05:01", "a", "1"), ("00:00:02", "late", "9")],
+    [("00:10:00", "e", "5")],
+    [("00:10:01", "a", "1"), ("00:03:00", "late2", "9"), ("00:09:00", "edge", "7"), ("00:09:00.000001", "edge2", "7")],
+    [("00:10:01", "f", "1"), ("00:08:00", "late3", "9")],
+]
+
+
+def play(topic, script):
+    for rows in script:
+        topic.add([(at(t), [trade(i, size=s)]) for t, i, s in rows])
+
+
+def published(spark, table):
+    """(batch, poll, trades, volume) of every row ever written."""
+    rows = read_revisions(spark, table).collect()
+    return sorted(
+        (r["batch_id"], clock(r["api_call_timestamp_utc"]), r["num_trades"], r["share_volume"])
+        for r in rows
+    )
+
+
+@pytest.mark.parametrize(
+    "mode, states",
+    [("forever", [2, 3, 4, 5, 6, 8, 9]), ("bounded", [2, 3, 4, 1, 2, 4, 5])],
+)
+def test_scripted_stream_in_append_mode(spark, topic, tmp_path, mode, states):
+    play(topic, SCRIPT)
+    params = PARAMS.but(dedup=mode)
+    query = run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    assert published(spark, str(tmp_path / "t")) == [
+        (3, "00:00:00", 2, 3.0),
+        (3, "00:00:01", 1, 3.0),
+        (3, "00:00:02", 1, 9.0),
+        (5, "00:05:00", 1, 4.0),
+        (5, "00:09:00", 1, 7.0),
+        (6, "00:09:00.000001", 1, 7.0),
+    ]
+    name = "dedupe" if mode == "forever" else "dedupeWithinWatermark"
+    assert state_rows(query, name)[:7] == states
+    assert dropped_late(query) == 2
+
+
+@pytest.mark.parametrize("mode", ["forever", "bounded"])
+def test_scripted_stream_in_update_mode(spark, topic, tmp_path, mode):
+    play(topic, SCRIPT[:5])
+    params = PARAMS.but(dedup=mode, output_mode="update")
+    run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    assert published(spark, str(tmp_path / "t")) == [
+        (0, "00:00:00", 2, 3.0),
+        (1, "00:00:01", 1, 3.0),
+        (2, "00:05:00", 1, 4.0),
+        (3, "00:00:02", 1, 9.0),
+        (4, "00:10:00", 1, 5.0),
+    ]
+
+
+def test_complete_mode_is_accepted(spark, topic, tmp_path):
+    play(topic, SCRIPT[:5])
+    params = PARAMS.but(output_mode="complete")
+    run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    last = [row[1:] for row in published(spark, str(tmp_path / "t")) if row[0] == 4]
+    assert last == [
+        ("00:00:00", 2, 3.0),
+        ("00:00:01", 1, 3.0),
+        ("00:00:02", 1, 9.0),
+        ("00:05:00", 1, 4.0),
+        ("00:10:00", 1, 5.0),
+    ]
+
+
+def test_returning_id_is_admitted_again_only_in_bounded_mode(spark, topic, tmp_path):
+    script = [*SCRIPT, [("00:20:00", "z", "1")]]
+    play(topic, script)
+    volumes = {}
+    for mode in ("forever", "bounded"):
+        folder = tmp_path / mode
+        params = PARAMS.but(dedup=mode)
+        run_to_end(start_speed_layer(spark, params, str(folder / "c"), str(folder / "t"), topic.path))
+        volumes[mode] = {row[1]: row[2] for row in published(spark, str(folder / "t"))}
+    assert volumes["forever"]["00:10:01"] == 1
+    assert volumes["bounded"]["00:10:01"] == 2
+
+
+@pytest.mark.parametrize("lanes", [1, 5])
+def test_lanes_do_not_change_the_result(spark, topic, tmp_path, lanes):
+    """One id, and one missing id, are in a third of all rows each."""
+    for minute in range(6):
+        topic.add(
+            [
+                (shift(at("00:00:00"), minutes=minute, seconds=s), [trade("hot"), trade(None), trade(f"{minute}-{s}")])
+                for s in range(30)
+            ]
+        )
+    params = PARAMS.but(dedup="forever", lanes=lanes)
+    run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    rows = read_table(spark, str(tmp_path / "t")).collect()
+    first = min(rows, key=lambda r: r["api_call_timestamp_utc"])
+    # Which copy within the first file survives is open, but only one does.
+    assert sum(r["num_trades"] for r in rows) == len(rows) + 1
+    assert sum(r["share_volume"] for r in rows) == len(rows) + 2
+    assert clock(first["api_call_timestamp_utc"]) == "00:00:00"
+    assert all(r["num_trades"] == 1 for r in rows if r["api_call_timestamp_utc"].minute > 0)
+
+
+def test_stream_and_tail_equal_the_batch_layer(spark, topic, tmp_path):
+    """Without late rows, update mode publishes what the batch computes."""
+    for second in range(0, 60, 10):
+        topic.add(
+            [
+                (shift(at("00:00:00"), seconds=second), [trade(str(i), f"P{i % 3}", str(i), str(i % 7)) for i in range(second, second + 25)])
+            ]
+        )
+    params = PARAMS.but(output_mode="update", lanes=4, rocksdb=True)
+    run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    streamed = read_table(spark, str(tmp_path / "t")).drop(DATE)
+    ticks = unique_ticks_source(spark, topic)
+    expected = batch_layer(ticks)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def unique_ticks_source(spark, topic):
+    from tickloom.functions import parse_ticks
+
+    return parse_ticks(read_records(spark, PARAMS, topic.path))
+
+
+def test_state_stays_flat_in_bounded_mode_and_grows_forever(spark, topic, tmp_path):
+    for minute in range(0, 30, 3):
+        topic.add([(shift(at("00:00:00"), minutes=minute), [trade(f"{minute}-{i}") for i in range(20)])])
+    held = {}
+    for mode, name in (("bounded", "dedupeWithinWatermark"), ("forever", "dedupe")):
+        folder = tmp_path / mode
+        query = run_to_end(
+            start_speed_layer(spark, PARAMS.but(dedup=mode), str(folder / "c"), str(folder / "t"), topic.path)
+        )
+        held[mode] = state_rows(query, name)
+    assert max(held["bounded"]) <= 40
+    assert held["forever"][-1] == 200
+
+
+def test_restart_resumes_and_retried_batch_changes_nothing(spark, topic, tmp_path):
+    checkpoint, table = str(tmp_path / "c"), str(tmp_path / "t")
+    play(topic, SCRIPT[:3])
+    params = PARAMS.but(output_mode="update", dedup="forever")
+    run_to_end(start_speed_layer(spark, params, checkpoint, table, topic.path))
+    play(topic, SCRIPT[3:])
+    run_to_end(start_speed_layer(spark, params, checkpoint, table, topic.path))
+    before = published(spark, table)
+    polls = [row[1] for row in before]
+    assert "00:00:00" in polls and "00:10:01" in polls
+    # 'a' of the first run is still known: it never shows at 00:05:01.
+    assert "00:05:01" not in polls
+    # The same batch again, as after a crash between write and commit.
+    again = spark.createDataFrame(
+        [(at("00:05:00"), "P", 1, 0, 1, 4.0, 1.0)],
+        "api_call_timestamp timestamp, product_id string, num_trades bigint, num_sell_trades bigint, "
+        "num_buy_trades bigint, share_volume double, avg_share_price double",
+    )
+    batch = next(row[0] for row in before if row[1] == "00:05:00")
+    table_writer(table)(again, batch)
+    assert published(spark, table) == before
+
+
+def test_keyed_table_shows_the_newest_revision_and_compacts(spark, topic, tmp_path):
+    topic.add([(at("00:00:00"), [trade("a", size="1")])])
+    topic.add([(at("00:00:00"), [trade("b", size="2")])])
+    topic.add([(at("00:00:30"), [trade("c", size="5")])])
+    table = str(tmp_path / "t")
+    params = PARAMS.but(output_mode="update")
+    run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), table, topic.path))
+    assert [row[2:] for row in published(spark, table)][:2] == [(1, 1.0), (2, 3.0)]
+    shown = read_table(spark, table).orderBy("api_call_timestamp_utc")
+    assert [(r["num_trades"], r["share_volume"]) for r in shown.collect()] == [(2, 3.0), (1, 5.0)]
+    compact_table(spark, table, str(tmp_path / "compact"))
+    compacted = spark.read.parquet(str(tmp_path / "compact")).select(shown.columns)
+    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, shown.collect()))
+
+
+def test_keyed_table_prunes_dates_below_the_grouping(spark, topic, tmp_path):
+    play(topic, SCRIPT[:3])
+    table = str(tmp_path / "t")
+    run_to_end(start_speed_layer(spark, PARAMS.but(output_mode="update"), str(tmp_path / "c"), table, topic.path))
+    found = lookback(read_table(spark, table), at("00:00:00"), at("00:01:00"))
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("\n")[0]
+    assert DATE in filters and "api_call_timestamp_utc" in filters[filters.index("PushedFilters") :]
+
+
+@pytest.mark.parametrize("file_format", ["parquet", "json"])
+def test_fan_out_feeds_table_and_messages_and_echo_reads_them(spark, topic, tmp_path, file_format):
+    play(topic, SCRIPT)
+    table, messages, echo = (str(tmp_path / n) for n in ("t", "m", "e"))
+    params = PARAMS.but(message_topic="metrics")
+    sink = params.but(file_format=file_format)
+    if file_format == "json":
+        raw = str(tmp_path / "raw-json")
+        read_records(spark, params, topic.path).coalesce(1).write.json(raw)
+    else:
+        raw = topic.path
+    query = start_speed_layer(spark, sink, str(tmp_path / "c"), table, raw, messages)
+    run_to_end(query)
+    run_to_end(start_message_echo(spark, sink.but(max_files_per_trigger=None), str(tmp_path / "c2"), messages, echo))
+    echoed = spark.read.parquet(echo)
+    assert echoed.columns == ["timestamp", "value"]
+    assert echoed.where("timestamp is null").count() == 0
+    back = to_table_rows(parse_messages(echoed)).withColumn(
+        "api_call_timestamp_utc", F.date_trunc("second", "api_call_timestamp_utc")
+    )
+    shown = read_table(spark, table).drop(DATE).withColumn(
+        "api_call_timestamp_utc", F.date_trunc("second", "api_call_timestamp_utc")
+    )
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, shown.collect()))
+    assert back.count() > 0
+
+
+def test_console_echo_runs(spark, topic, tmp_path):
+    play(topic, SCRIPT[:1])
+    query = start_message_echo(spark, PARAMS, str(tmp_path / "c"), topic.path)
+    run_to_end(query)
+    assert query.exception() is None
+
+
+def test_landed_ticks_are_unique_and_dated(spark, topic, tmp_path):
+    play(topic, SCRIPT)
+    params = PARAMS.but(dedup="forever")
+    run_to_end(land_ticks(spark, params, str(tmp_path / "c"), str(tmp_path / "l"), topic.path))
+    ticks = read_landed_ticks(spark, str(tmp_path / "l"))
+    rows = {r["trade_id"]: clock(r["api_call_timestamp"]) for r in ticks.collect()}
+    assert rows == {
+        "a": "00:00:00",
+        "b": "00:00:00",
+        "c": "00:00:01",
+        "d": "00:05:00",
+        "late": "00:00:02",
+        "e": "00:10:00",
+        "edge": "00:09:00",
+        "edge2": "00:09:00.000001",
+        "f": "00:10:01",
+    }
+    assert {str(r[DATE]) for r in ticks.select(DATE).collect()} == {"2024-01-01"}
+
+
+def test_products_are_selected_before_dedup(spark, topic, tmp_path):
+    topic.add([(at("00:00:00"), [trade("a", "A"), trade("b", "B")])])
+    params = PARAMS.but(products=("B",), output_mode="update")
+    query = run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    assert [r["product_id"] for r in read_table(spark, str(tmp_path / "t")).collect()] == ["B"]
+    assert state_rows(query, "dedupeWithinWatermark")[0] == 1
+
+
+def test_job_settings_stay_out_of_the_callers_session(spark, topic, tmp_path):
+    play(topic, SCRIPT[:1])
+    before = dict(spark.conf.getAll)
+    run_to_end(start_speed_layer(spark, PARAMS, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    assert dict(spark.conf.getAll) == before
+
+
+def test_failure_of_any_query_is_raised_and_stops_the_rest(spark, topic, tmp_path):
+    play(topic, SCRIPT[:1])
+    params = PARAMS.but(trigger_interval="1 second")
+    healthy = start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path)
+
+    def fail(batch, batch_id):
+        raise RuntimeError("sink is gone")
+
+    broken = (
+        stream_records(spark, PARAMS, topic.path)
+        .writeStream.foreachBatch(fail)
+        .option("checkpointLocation", str(tmp_path / "c2"))
+        .start()
+    )
+    with pytest.raises(Exception, match="sink is gone"):
+        await_any([healthy, broken])
+    assert not healthy.isActive and not broken.isActive
+
+
+def test_streaming_plan_has_one_watermark_and_two_stateful_steps(spark, topic):
+    play(topic, SCRIPT[:1])
+    metrics = speed_metrics(tick_stream(spark, PARAMS, topic.path), PARAMS)
+    plan = metrics._jdf.queryExecution().analyzed().toString()
+    assert metrics.isStreaming
+    assert plan.count("EventTimeWatermark") == 1 and plan.count("Deduplicate") == 1
+    assert unique_ticks(tick_stream(spark, PARAMS.but(lanes=4), topic.path), lanes=4).columns == [
+        "api_call_timestamp",
+        "trade_id",
+        "product_id",
+        "price",
+        "size",
+        "side",
+    ]
