@@ -25,7 +25,7 @@ from tickloom.streaming import (
     state_rows,
     tick_stream,
 )
-from tickloom.streaming.sinks import table_writer
+from tickloom.streaming.sinks import speed_writer
 
 PARAMS = JobParams(lanes=1, max_files_per_trigger=1, state_partitions=2, rocksdb=False)
 
@@ -192,7 +192,7 @@ def test_restart_resumes_and_retried_batch_changes_nothing(spark, topic, tmp_pat
         "num_buy_trades bigint, share_volume double, avg_share_price double",
     )
     batch = next(row[0] for row in before if row[1] == "00:05:00")
-    table_writer(table)(again, batch)
+    speed_writer(table, params)(again, batch)
     assert published(spark, table) == before
 
 
@@ -206,9 +206,15 @@ def test_keyed_table_shows_the_newest_revision_and_compacts(spark, topic, tmp_pa
     assert [row[2:] for row in published(spark, table)][:2] == [(1, 1.0), (2, 3.0)]
     shown = read_table(spark, table).orderBy("api_call_timestamp_utc")
     assert [(r["num_trades"], r["share_volume"]) for r in shown.collect()] == [(2, 3.0), (1, 5.0)]
-    compact_table(spark, table, str(tmp_path / "compact"))
-    compacted = spark.read.parquet(str(tmp_path / "compact")).select(shown.columns)
-    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, shown.collect()))
+    # Fold the first revision of the first key, then the rest on top of it.
+    first, second = str(tmp_path / "fold-0"), str(tmp_path / "fold-1")
+    compact_table(spark, table, first, upto=0)
+    assert sorted(map(tuple, read_table(spark, table, first, upto=0).collect())) == sorted(map(tuple, shown.collect()))
+    compact_table(spark, table, second, upto=9, base=first, since=0)
+    folded = spark.read.parquet(second).select(shown.columns)
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, shown.collect()))
+    revisions = read_table(spark, table, second, upto=9)
+    assert revisions.count() == 2
 
 
 def test_keyed_table_prunes_dates_below_the_grouping(spark, topic, tmp_path):
@@ -249,6 +255,18 @@ def test_fan_out_feeds_table_and_messages_and_echo_reads_them(spark, topic, tmp_
     assert back.count() > 0
 
 
+def test_write_tasks_bound_the_files_of_a_batch(spark, topic, tmp_path):
+    topic.add([(shift(at("00:00:00"), seconds=s), [trade(str(s))]) for s in range(40)])
+    counts = {}
+    for tasks in (None, 1):
+        folder = tmp_path / str(tasks)
+        params = PARAMS.but(output_mode="update", state_partitions=4, write_tasks=tasks)
+        run_to_end(start_speed_layer(spark, params, str(folder / "c"), str(folder / "t"), topic.path))
+        counts[tasks] = len(list((folder / "t" / "batch_id=0").glob("*/*.parquet")))
+        assert read_table(spark, str(folder / "t")).count() == 40
+    assert counts == {None: 4, 1: 1}
+
+
 def test_console_echo_runs(spark, topic, tmp_path):
     play(topic, SCRIPT[:1])
     query = start_message_echo(spark, PARAMS, str(tmp_path / "c"), topic.path)

@@ -33,8 +33,12 @@ class JobParams:
     ``lanes``            how many ways a hot trade id is split before the
                          authoritative dedup; 1 switches the splitting off.
     ``state_partitions`` width of the stateful shuffles. A checkpoint pins it.
-                         None takes the session's shuffle width, but no more
-                         than one task per core.
+                         None takes the session's shuffle width; a local
+                         session uses no more than one task per core.
+    ``write_tasks``      tasks that write one micro-batch; None leaves one per
+                         state partition.
+    ``max_bytes_per_trigger``, ``max_files_per_trigger``
+                         how much of a file source one micro-batch takes.
     ``strict_source``    fail when the source lost data instead of going on.
     """
 
@@ -61,6 +65,8 @@ class JobParams:
     starting_offsets: str = "latest"
     min_partitions: int | None = None
     max_files_per_trigger: int | None = None
+    max_bytes_per_trigger: int | None = None
+    write_tasks: int | None = None
     trigger_interval: str | None = None
     app_name: str = "tickloom"
 
@@ -130,10 +136,11 @@ def stream_session(spark: SparkSession, params: JobParams) -> SparkSession:
             sibling.conf.set(key, value)
     for key, value in session_settings(params).items():
         sibling.conf.set(key, value)
-    if not params.state_partitions:
+    context = spark.sparkContext
+    if not params.state_partitions and context.master.startswith("local"):
         asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        cores = spark.sparkContext.defaultParallelism
-        sibling.conf.set("spark.sql.shuffle.partitions", str(max(1, min(asked, cores))))
+        width = max(1, min(asked, context.defaultParallelism))
+        sibling.conf.set("spark.sql.shuffle.partitions", str(width))
     return sibling
 
 

@@ -38,6 +38,8 @@ def file_options(params: JobParams, strict: bool | None = None) -> dict[str, str
     }
     if params.max_files_per_trigger:
         options["maxFilesPerTrigger"] = str(params.max_files_per_trigger)
+    if params.max_bytes_per_trigger:
+        options["maxBytesPerTrigger"] = str(params.max_bytes_per_trigger)
     return options
 
 
@@ -73,4 +75,5 @@ def read_records(
         return spark.read.format("kafka").options(**options).load()
     options = file_options(params)
     options.pop("maxFilesPerTrigger", None)
+    options.pop("maxBytesPerTrigger", None)
     return spark.read.schema(RECORD_DDL).format(params.file_format).options(**options).load(path)

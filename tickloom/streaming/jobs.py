@@ -12,7 +12,7 @@ from tickloom.operators.metrics import tick_metrics
 from tickloom.params import JobParams, require_utc, stream_session
 from tickloom.schemas import METRIC_FIELDS, TRADE_FIELDS
 from tickloom.sources.records import stream_records
-from tickloom.streaming.sinks import fan_out_writer, land_writer, table_writer
+from tickloom.streaming.sinks import land_writer, speed_writer
 
 
 def tick_stream(
@@ -55,19 +55,17 @@ def start_speed_layer(
     messages: str | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """Raw topic to keyed table, and to the message topic when one is given.
+    """Raw topic to keyed table, message topic and external store.
 
-    One query feeds both outputs, so parsing, dedup and aggregation happen
-    once. Append mode publishes a group once it is final; update mode
+    The last two are optional: messages go out when a folder or a broker topic
+    is named, the store is written when its table is. One query feeds all of
+    them, so parsing, dedup and aggregation happen once. Append mode publishes a group once it is final; update mode
     publishes every revision and the keyed table shows the newest.
     """
     session = stream_session(spark, params)
     require_utc(session)
     metrics = speed_metrics(tick_stream(session, params, raw), params)
-    if messages or params.message_topic and params.source == "kafka":
-        callback = fan_out_writer(table, messages, params)
-    else:
-        callback = table_writer(table)
+    callback = speed_writer(table, params, messages)
     writer = metrics.writeStream.outputMode(params.output_mode).foreachBatch(callback)
     return _start(writer, params, checkpoint, name)
 
@@ -84,7 +82,7 @@ def land_ticks(
     session = stream_session(spark, params)
     require_utc(session)
     ticks = _unique(tick_stream(session, params, raw, TRADE_FIELDS), params)
-    writer = ticks.writeStream.outputMode("append").foreachBatch(land_writer(target))
+    writer = ticks.writeStream.outputMode("append").foreachBatch(land_writer(target, params))
     return _start(writer, params, checkpoint, name)
 
 

@@ -16,8 +16,15 @@ from tickloom.plans.tables import narrow_rows, to_table_rows
 from tickloom.schemas import MEASURE_COLUMNS, TABLE_DDL, TRADE_FIELDS
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> str:
+def _write_batch(rows: DataFrame, path: str, batch_id: int, tasks: int | None) -> str:
+    """Write one batch to its folder, by ``tasks`` tasks if that is set.
+
+    The shuffle this costs carries finished rows only. Without it every state
+    partition writes its own files, which get small when there are many.
+    """
     folder = f"{path}/{BATCH}={batch_id}"
+    if tasks:
+        rows = rows.repartition(tasks, *rows.columns)
     rows.write.mode("overwrite").partitionBy(DATE).parquet(folder)
     return folder
 
@@ -28,28 +35,27 @@ def _table_rows(metrics: DataFrame) -> DataFrame:
     return with_date(rows.withColumns({c: F.col(c).cast("double") for c in MEASURE_COLUMNS}))
 
 
-def table_writer(path: str):
-    """Batch callback that adds table rows to the keyed table under ``path``."""
-
-    def write(metrics: DataFrame, batch_id: int) -> None:
-        _write_batch(_table_rows(metrics), path, batch_id)
-
-    return write
-
-
-def fan_out_writer(path: str, messages: str, params: JobParams):
-    """Batch callback that feeds the keyed table and the message topic.
+def speed_writer(path: str, params: JobParams, messages: str | None = None):
+    """Batch callback of the speed layer.
 
-    The messages are made from the rows just written, not from the streaming
-    plan: the stateful plan runs once, both outputs agree, and nothing has to
-    stay cached on executors that may be lost in between.
+    It adds the batch to the keyed table under ``path`` and then feeds the
+    other outputs, the message topic and the external store, from the rows just
+    written rather than from the streaming plan. So the stateful plan runs
+    once, all outputs agree, and nothing has to stay cached on executors that
+    may be lost in between.
     """
+    sends = bool(messages) or (params.source == "kafka" and bool(params.message_topic))
 
     def write(metrics: DataFrame, batch_id: int) -> None:
-        folder = _write_batch(_table_rows(metrics), path, batch_id)
+        folder = _write_batch(_table_rows(metrics), path, batch_id, params.write_tasks)
+        if not sends and not params.store_table:
+            return
         written = metrics.sparkSession.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(folder)
-        rows = written.withColumnRenamed("api_call_timestamp_utc", "api_call_timestamp")
-        send_messages(rows.select(*metrics.columns), f"{messages}/batch-{batch_id}", params)
+        if sends:
+            back = written.withColumnRenamed("api_call_timestamp_utc", "api_call_timestamp")
+            send_messages(back.select(*metrics.columns), f"{messages}/batch-{batch_id}", params)
+        if params.store_table:
+            write_store(written.drop(DATE), params)
 
     return write
 
@@ -78,12 +84,12 @@ def send_messages(metrics: DataFrame, folder: str, params: JobParams) -> None:
     )
 
 
-def land_writer(path: str):
+def land_writer(path: str, params: JobParams):
     """Batch callback that lands ticks, partitioned by the date of their poll."""
 
     def write(ticks: DataFrame, batch_id: int) -> None:
         dated = ticks.withColumn(DATE, F.to_date("api_call_timestamp"))
-        _write_batch(dated, path, batch_id)
+        _write_batch(dated, path, batch_id, params.write_tasks)
 
     return write
 
@@ -93,9 +99,19 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{TABLE_DDL}, {DATE} date, {BATCH} bigint").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The keyed table as an upserting store would show it."""
-    return latest_rows(read_revisions(spark, path))
+def read_table(
+    spark: SparkSession, path: str, base: str | None = None, upto: int = -1
+) -> DataFrame:
+    """The keyed table as an upserting store would show it.
+
+    ``base`` is a compacted copy of the batches up to ``upto``; only the
+    folders after it are then read from ``path``.
+    """
+    revisions = read_revisions(spark, path).where(F.col(BATCH) > upto)
+    if base:
+        folded = spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
+        revisions = revisions.unionByName(folded.withColumn(BATCH, F.lit(upto).cast("bigint")))
+    return latest_rows(revisions)
 
 
 def read_landed_ticks(spark: SparkSession, path: str, fields=TRADE_FIELDS) -> DataFrame:
@@ -105,13 +121,20 @@ def read_landed_ticks(spark: SparkSession, path: str, fields=TRADE_FIELDS) -> Da
     return spark.read.schema(schema).parquet(path).drop(BATCH)
 
 
-def compact_table(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite a keyed table's current rows to ``target``, files merged by date.
+def compact_table(
+    spark: SparkSession, path: str, target: str, upto: int, base: str | None = None, since: int = -1
+) -> None:
+    """Fold the batches up to ``upto`` into ``target``, files merged by date.
 
-    ``target`` is a plain dated table as :func:`~tickloom.plans.write_rows`
-    leaves it. Readers move there once the write is complete.
+    ``base`` and ``since`` name an earlier fold to start from. ``target`` is a
+    new folder, a plain dated table as :func:`~tickloom.plans.write_rows`
+    leaves it; readers name it once the write is complete.
     """
-    write_rows(read_table(spark, path).drop(DATE), target)
+    kept = read_revisions(spark, path).where(F.col(BATCH).between(since + 1, upto))
+    if base:
+        folded = spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
+        kept = kept.unionByName(folded.withColumn(BATCH, F.lit(since).cast("bigint")))
+    write_rows(latest_rows(kept).drop(DATE), target)
 
 
 def write_store(rows: DataFrame, params: JobParams) -> None:
