@@ -56,6 +56,16 @@ from tickloom.streaming import (
 )
 from tickloom.workspace import new_folder
 
+try:
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL, run as run_pipeline
+    from tickloom.llm.registry import ORACLES as CORPUS_SQL, QUERIES as CORPUS_QUERIES
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tickloom.llm", "tickloom.llm.registry"):
+        raise
+    PIPELINE_SQL, CORPUS_SQL, CORPUS_QUERIES = None, {}, {}
+else:
+    CORPUS_QUERIES = {**CORPUS_QUERIES, "pipeline": run_pipeline}
+
 ZONE = "America/New_York"
 SPAN = "1 hour"
 SPLIT = datetime(2024, 1, 16)
@@ -330,6 +340,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_layer_compacted": speed_layer_compacted,
         "messages_roundtrip": messages_roundtrip,
         "landed_ticks": landed_ticks,
+        **CORPUS_QUERIES,
     }
 
 
@@ -492,4 +503,6 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
             SELECT {_rows()} FROM metrics WHERE product_id IN ('P1', 'P4')""",
         "messages_roundtrip": f"{base} SELECT * FROM metrics WHERE {published}",
         "landed_ticks": f"{base} {ticks} uniq",
+        **CORPUS_SQL,
+        **({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {}),
     }
