@@ -1,0 +1,95 @@
+"""Pigeonhole matching against plain dynamic programming over all pairs."""
+
+import random
+
+from hypothesis import given, settings as profile, strategies as st
+from pyspark.sql import functions as F
+
+from tickloom.llm.decontaminate import Settings, budget_of, clean, closest, matches, normal, start_of
+
+
+def slow_closest(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    best = min(row)
+    return best, row.index(best)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@profile(max_examples=200, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=80), st.text("ab ", max_size=60))
+def test_bit_parallel_search_equals_dynamic_programming(item, text):
+    distance, end = closest(item, text)
+    assert (distance, end) == slow_closest(item, text)
+    start = start_of(item, text, end)
+    assert edits(item, text[start:end]) == distance
+
+
+def fixture_texts():
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "st", "", "ré")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, say(rng.randrange(3, 60))) for i in range(25)] + [(90, None), (91, " "), (None, say(20)), (92, "short item")]
+    texts = [None, "", "  ", "a short item here", "a shorter itemise"]
+    for _, item in items[:25]:
+        for changes in (0, 1, 3, 9):
+            chars = list(item)
+            for _ in range(changes):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice(([], ["x"], [chars[at], "y"]))
+            texts.append(say(rng.randrange(0, 40)).upper() + "\n " + "".join(chars).title() + "  " + say(5))
+    texts += [say(400), texts[-1], say(20000)]
+    return items, texts
+
+
+def test_matches_equal_brute_force(spark, documents):
+    items, texts = fixture_texts()
+    settings = Settings(block_items=7)
+    benchmark = spark.createDataFrame(items + items[:3], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in matches(documents(texts), benchmark, settings).collect()}
+    expected = {}
+    for d, text in enumerate(texts[:-1]):
+        for i, item in items:
+            item = normal(item)
+            if i is None or not item:
+                continue
+            if len(item) < settings.shortest:
+                if f" {item} " in f" {normal(text)} ":
+                    expected[d, i] = 0
+                continue
+            distance, _ = slow_closest(item, normal(text))
+            if distance <= budget_of(item, settings):
+                expected[d, i] = distance
+    last = len(texts) - 1
+    assert {k: r["distance"] for k, r in found.items() if k[0] != last} == expected
+    assert len(expected) > 60
+    for (d, i), r in found.items():
+        part = normal(texts[d])[r["start"] : r["stop"]]
+        assert edits(normal(dict(items)[i]), part) == r["distance"]
+    kept = {r["doc_id"] for r in clean(documents(texts), benchmark, settings).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in found}
+
+
+def test_nulls_repeats_clashing_columns_and_empty_tables(spark, documents):
+    item = "some passage that is long enough to be matched with a few edits in it"
+    benchmark = spark.createDataFrame([(1, item, "x")], "item_id bigint, text string, doc_id string")
+    docs = documents([(None, item), (None, item), (3, None)]).withColumn("item_id", F.lit("y"))
+    rows = matches(docs, benchmark).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in rows] == [(None, 1, 0)] * 2
+    assert clean(docs, benchmark).count() == 1
+    assert matches(docs, benchmark.where("false")).count() == 0
+    assert clean(docs, benchmark.where("false")).count() == 3
+    assert matches(docs.where("false"), benchmark).count() == 0

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tickloom.llm import importance
+from tickloom.llm.decontaminate import matches
+from tickloom.llm.secrets import KINDS, find_secrets
 from tickloom.llm.simhash import near_duplicates
 
 
@@ -18,8 +21,39 @@ def op5_simhash_near_dedup(spark, sf_dir):
     )
 
 
+def _joined(spans: str):
+    """``kind:start:end`` of every span, comma-joined."""
+    text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    return F.array_join(text, ",")
+
+
+def op6_secret_scan(spark, sf_dir):
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
+def op9_quality_classifier(spark, sf_dir):
+    """The sampled documents; every row here is kept."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return importance.sample(docs, importance.fit(docs, labels)).withColumn("kept", F.lit(True))
+
+
+def op10_decontamination(spark, sf_dir):
+    """Every document and benchmark item that it contains."""
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
