@@ -8,6 +8,7 @@ from tickloom.llm import importance
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.secrets import KINDS, find_secrets
 from tickloom.llm.simhash import near_duplicates
+from tickloom.llm.substrings import dedup_substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op6_secret_scan(spark, sf_dir):
     )
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     """The sampled documents; every row here is kept."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -52,6 +57,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
 }
