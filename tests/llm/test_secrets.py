@@ -92,10 +92,11 @@ def test_odd_rows(spark, documents):
 def test_registered_query_equals_brute_force(spark):
     from tickloom.llm.registry import QUERIES
 
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"
     rows = QUERIES["op6_secret_scan"](spark, folder).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert len(rows) == len(docs)
+    assert all(any(r[f"n_{kind}"] for r in rows) for kind in PLAIN)
     for r in rows:
         spans = slow_spans(docs[r["doc_id"]])
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

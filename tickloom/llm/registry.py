@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import importance
 from tickloom.llm.decontaminate import matches
+from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
 from tickloom.llm.simhash import near_duplicates
 from tickloom.llm.substrings import dedup_substrings
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -30,10 +35,8 @@ def _joined(spans: str):
 
 def op6_secret_scan(spark, sf_dir):
     found = find_secrets(_table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind))
+    counts = [count(kind).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
     )
@@ -55,6 +58,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
