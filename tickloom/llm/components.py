@@ -20,18 +20,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     folder = new_folder(spark, "components")
-    a, b = (F.col(c) for c in edges.columns)
-    pairs = edges.select(a.alias("src"), b.alias("dst")).where("src != dst")
+    given = written(edges.toDF("src", "dst"), f"{folder}/given")
+    pairs = given.where("src != dst")
     turned = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     links = written(pairs.unionByName(turned).distinct(), f"{folder}/links")
 
-    loops = edges.select(F.explode(F.array(a, b)).alias("node")).where("node IS NOT NULL")
+    odd = given.where("src IS NULL OR dst IS NULL OR src = dst")
+    loops = odd.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL")
     alone = loops.select("node", F.col("node").alias("label"))
     first = links.select(F.col("src").alias("node"), F.least("src", "dst").alias("label"))
     labels = written(
         first.unionByName(alone).groupBy("node").agg(F.min("label").alias("label")),
         f"{folder}/labels-0",
     )
+    discard(spark, f"{folder}/given")
     round_ = 0
     while True:
         round_ += 1
