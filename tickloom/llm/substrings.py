@@ -7,8 +7,10 @@ and a text has about one anchor for every twenty windows.
 First pass: each task counts the anchors of its documents in a count-min sketch,
 once for each document; the sketches are added up. A sketch can only overstate,
 so a window whose anchor it counts once starts in one document only. Second
-pass: the windows whose anchors it counts twice or more, and only those, are
-grouped exactly by a 128-bit hash of their words. None that repeats is lost.
+pass: only what is estimated repeated is grouped exactly. First whole texts, as
+a copy of a document with a smaller id loses every word; then the anchors of the
+texts that are left, a twentieth of the rows of their windows; then the windows
+with a shared anchor, by a 96-bit hash of their words. None that repeats is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ _BLOCK = 1 << 16
 _STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
-DIGEST = "row bigint, doc_id bigint, n_words bigint, kept_sha256 string, text binary, start array<int>, h1 array<bigint>, h2 array<bigint>"
+DIGEST = "row bigint, doc_id bigint, n_words bigint, kept_sha256 string, text binary, text_hash binary, anchors array<bigint>"
+WINDOWS = "row bigint, doc_id bigint, start int, h1 bigint, h2 int"
 
 
 @dataclass(frozen=True)
@@ -160,37 +163,71 @@ def estimated_repeated(values: np.ndarray, maps: np.ndarray, bits: int) -> np.nd
 
 
 def _digested(maps, bits: int, settings: Settings):
-    """Second pass: digests of texts without, and windows of texts with findings."""
+    """Second pass: a digest of each text, or the text and its repeated anchors."""
 
     def run(batches):
         first, number = (TaskContext.get().partitionId() << 33), 0
         for batch in batches:
-            out = {name.split()[0]: [] for name in DIGEST.split(", ")}
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or b"").split()
-                start = h1 = h2 = ()
-                if len(words) >= settings.window:
-                    hashes = word_hashes(words)
-                    start = np.flatnonzero(estimated_repeated(anchors(hashes, settings), maps.value, bits))
-                    if len(start):
-                        h1, h2 = (
-                            _mixed(rolling(np.ascontiguousarray(hashes[:, i]), settings.window, _STEP[i]), _MIX[i])[start].view(np.int64)
-                            for i in range(2)
-                        )
-                clear = not len(start)
-                values = (
-                    first + number, doc_id, len(words), sha256(b" ".join(words)).hexdigest() if clear else None,
-                    None if clear else text, start, h1, h2,
-                )
-                for column, value in zip(out.values(), values):
-                    column.append(value)
+                words, found = (text or b"").split(), ()
+                if len(words) >= settings.window and doc_id is not None:
+                    found = np.unique(anchors(word_hashes(words), settings))
+                    found = found[estimated_repeated(found, maps.value, bits)].view(np.int64)
+                if len(found):
+                    rows.append((first + number, doc_id, len(words), None, text, xxhash.xxh3_128_digest(text), found))
+                else:
+                    digest = sha256(b" ".join(words)).hexdigest()
+                    rows.append((first + number, doc_id, len(words), digest, None, None, None))
                 number += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            names = [column.split()[0] for column in DIGEST.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
 
+def _windowed(settings: Settings, batch_rows: int = 1 << 16):
+    """The windows of a text that have one of its shared anchors."""
+    names = [column.split()[0] for column in WINDOWS.split(", ")]
+
+    def of_text(row, doc_id, text, shared):
+        hashes = word_hashes(text.split())
+        hit = np.isin(anchors(hashes, settings).view(np.int64), np.array(shared, np.int64))
+        start = np.flatnonzero(hit)
+        h1, h2 = (
+            _mixed(rolling(np.ascontiguousarray(hashes[:, i]), settings.window, _STEP[i]), _MIX[i])[start]
+            for i in range(2)
+        )
+        owner, doc = np.full(len(start), row, np.int64), np.full(len(start), doc_id, np.int64)
+        return owner, doc, start.astype(np.int32), h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def run(batches):
+        ready, rows = [], 0
+        for batch in batches:
+            for found in map(of_text, *(c.to_pylist() for c in batch.columns)):
+                ready.append(found)
+                rows += len(found[0])
+                if rows >= batch_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], names=names)
+                    ready, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], names=names)
+
+    return run
+
+
+def _shared(rows: DataFrame, key: list[str], path: str) -> DataFrame:
+    """``key`` and the smallest ``doc_id`` as ``first``, of keys of several documents.
+
+    Written, so that a join with it exchanges both sides and a key that very
+    many rows have can be split.
+    """
+    found = rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return written(found.where("first < last").select(*key, "first"), path)
+
+
 def dedup_substrings(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` of every row.
 
@@ -207,15 +244,27 @@ def dedup_substrings(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     digest = written(
         texts.mapInArrow(_digested(spark.sparkContext.broadcast(maps), bits, settings), DIGEST), f"{folder}/digest"
     )
-    found = F.arrays_zip("start", "h1", "h2")
-    windows = digest.where("doc_id IS NOT NULL AND kept_sha256 IS NULL").select("row", "doc_id", F.inline(found))
-    firsts = written(
-        windows.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last")
-        .select("h1", "h2", "first"),
-        f"{folder}/firsts",
+    clear = digest.where("kept_sha256 IS NOT NULL")
+    listed = digest.where("kept_sha256 IS NULL")
+
+    copies = _shared(listed.select("text_hash", "doc_id"), ["text_hash"], f"{folder}/copies")
+    marked = listed.select("row", "doc_id", "n_words", "text_hash", "anchors").join(copies, "text_hash", "left")
+    marked = written(
+        marked.select("row", "doc_id", "n_words", "anchors", F.expr("coalesce(first < doc_id, false)").alias("copy")),
+        f"{folder}/marked",
     )
+    points = marked.where("NOT copy").select("row", "doc_id", F.explode("anchors").alias("anchor"))
+    common = _shared(points, ["anchor"], f"{folder}/anchors")
+    shared = points.join(common, "anchor").groupBy(F.col("row").alias("owner")).agg(F.collect_list("anchor").alias("shared"))
+    live = written(
+        listed.select("row", "doc_id", "n_words", "text")
+        .join(marked.where("NOT copy").select(F.col("row").alias("kept_row")), F.col("row") == F.col("kept_row"))
+        .join(shared, F.col("row") == F.col("owner"), "left")
+        .select("row", "doc_id", "n_words", "text", "shared"),
+        f"{folder}/live",
+    )
+    windows = live.where("shared IS NOT NULL").select("row", "doc_id", "text", "shared").mapInArrow(_windowed(settings), WINDOWS)
+    firsts = _shared(windows, ["h1", "h2"], f"{folder}/windows")
     hits = windows.join(firsts, ["h1", "h2"]).where("doc_id > first")
     starts = hits.groupBy(F.col("row").alias("owner")).agg(F.collect_list("start").alias("starts"))
 
@@ -232,11 +281,13 @@ def dedup_substrings(docs: DataFrame, settings: Settings = Settings()) -> DataFr
             rows.append((len(words) - len(kept), sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_removed", "kept_sha256"])
 
-    open_ = digest.where("kept_sha256 IS NULL").select("row", "doc_id", "n_words", "text")
-    judged = open_.join(starts, open_["row"] == starts["owner"], "left").select(
-        "doc_id", "n_words", cut("text", "starts").alias("cut")
+    judged = live.join(starts, live["row"] == starts["owner"], "left")
+    copied = marked.where("copy").select(
+        "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256")
     )
-    clear = digest.where("kept_sha256 IS NOT NULL")
-    return judged.select("doc_id", "n_words", "cut.*").unionByName(
-        clear.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
+    return (
+        judged.select("doc_id", "n_words", cut("text", "starts").alias("cut"))
+        .select("doc_id", "n_words", "cut.*")
+        .unionByName(copied)
+        .unionByName(clear.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256"))
     )
