@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import importance
+from tickloom.llm import importance, url_filters
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -20,6 +20,20 @@ def op1_quality_rules(spark, sf_dir):
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# The rules that the query applies.
+URL_RULES = (
+    "allow com/",
+    "block example.com/en/",
+    "allow www.example.com/en/",
+    "block net/es/",
+    "block net/fr/",
+)
+
+
+def op3_url_filter(spark, sf_dir):
+    return url_filters.judge(_table(spark, sf_dir, "pages"), [url_filters.Rule.read(r) for r in URL_RULES])
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -59,6 +73,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filter": op3_url_filter,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
@@ -66,4 +81,67 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+def _rule_sql(value: str) -> str:
+    rules = sorted((url_filters.Rule.read(r) for r in URL_RULES), key=lambda r: -len(r.host) - len(r.path))
+    cases = " ".join(
+        f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') "
+        f"THEN '{r.action if value == 'action' else r.host + r.path}'"
+        for r in rules
+    )
+    return f"CASE {cases} END"
+
+
+_REST = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+
+
+def _host_sql(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({_REST.format(url)}, '^[^/?#]*'), '{url_filters.UPPER}', '{url_filters.LOWER}'), '')"
+
+
+def _path_sql(url: str) -> str:
+    return f"coalesce(regexp_extract({_REST.format(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _form_sql(url: str) -> str:
+    query = f"regexp_replace(regexp_replace(regexp_extract({_REST.format(url)}, '^[^?#]*\\?([^#]*)', 1), '{url_filters.TRACKING}', '', 'g'), '^&+', '')"
+    return (
+        f"CASE WHEN strpos({url}, '://') > 0 THEN 'https://' || {_host_sql(url)} || "
+        f"regexp_replace({_path_sql(url)}, '/+$', '') || CASE WHEN {query} != '' THEN '?' || {query} ELSE '' END END"
+    )
+
+
+def _stated_sql(outer: str, inner: str) -> str:
+    quoted = [p.replace("'", "''") for p in (outer, inner)]
+    target = f"regexp_extract(regexp_extract(html, '{quoted[0]}'), '{quoted[1]}', 1)"
+    scheme = "substr(url, 1, strpos(url, '://') - 1)"
+    return (
+        f"SELECT url, CASE WHEN {target} LIKE '%://%' THEN {target} WHEN {target} LIKE '//%' THEN {scheme} || ':' || {target} "
+        f"WHEN {target} LIKE '/%' THEN {scheme} || '://' || {_host_sql('url')} || {target} END AS target "
+        "FROM pages WHERE strpos(url, '://') > 0"
+    )
+
+
+URL_SQL = f"""
+WITH RECURSIVE stated AS (
+  {_stated_sql(url_filters.CANONICAL, url_filters.HREF)} UNION ALL {_stated_sql(url_filters.REFRESH, url_filters.TARGET)}),
+edges AS (
+  SELECT url AS a, {_form_sql('url')} AS b FROM pages WHERE strpos(url, '://') > 0
+  UNION SELECT url, target FROM stated WHERE target IS NOT NULL
+  UNION SELECT target, {_form_sql('target')} FROM stated WHERE strpos(target, '://') > 0),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT a, a AS b FROM both_ways
+  UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+acted AS (
+  SELECT a, {_rule_sql('action')} AS action
+  FROM (SELECT a, {_host_sql('b')} AS host, {_path_sql('b')} AS path FROM reach)),
+blocked AS (
+  SELECT a FROM acted GROUP BY a HAVING bool_or(action = 'block') AND NOT bool_or(coalesce(action, '') = 'allow')),
+judged AS (
+  SELECT page_id, url, host, path, {_rule_sql('rule')} AS rule, {_rule_sql('action')} AS action
+  FROM (SELECT page_id, url, {_host_sql('url')} AS host, {_path_sql('url')} AS path FROM pages))
+SELECT page_id, host, path, rule, a IS NOT NULL AS alias_blocked,
+       coalesce(action, CASE WHEN a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN blocked ON url = a"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL}
