@@ -1,0 +1,98 @@
+"""License findings against a plain version and against SQL."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tests.compare import difference, duck
+from tickloom.llm.license_scan import PHRASES, Settings, TEMPLATES, scan, similar_blocks
+from tickloom.llm.registry import ORACLES, QUERIES
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
+def slow(text):
+    text = low(text)
+    words = split(text)
+    places = [
+        (i, label)
+        for phrase, label in PHRASES
+        for i in range(len(words))
+        if words[i : i + len(phrase.split())] == phrase.split()
+    ]
+    shares = {}
+    for line in text.split("\n"):
+        for label, template in TEMPLATES:
+            own = set(template.split())
+            share = len(own & set(split(line))) / len(own)
+            if share >= 0.9:
+                shares[label] = max(share, shares.get(label, 0))
+    base = {label for _, label in places}
+    starts = [i for i, _ in places]
+    return (
+        len(words), len(places), min(starts, default=None), max(starts, default=None),
+        ",".join(sorted(base)), ",".join(sorted(base | set(shares))), max(shares.values(), default=0.0),
+    )
+
+
+def texts():
+    rng = random.Random(21)
+    parts = [t for _, t in TEMPLATES] + [p for p, _ in PHRASES] + ["the", "license", "MIT", "public", "\n", "GENERAL", "e.g.", "Kind", "mİt", "É", "4 0 by"]
+    out = []
+    for _ in range(250):
+        chosen = []
+        for part in rng.choices(parts, k=rng.randrange(1, 9)):
+            words = part.split(" ")
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                if len(words) > 2:
+                    del words[rng.randrange(len(words))]
+            rng.random() < 0.2 and rng.shuffle(words)
+            chosen.append(rng.choice((" ", "-", ", ")).join(words))
+        out.append(rng.choice((" ", ". ", "\n")).join(chosen))
+    return out + [None, "", "\n\n", "mit\nlicense", "MIT License." * 3, "x " * 60000 + "apache license", "admit license", "mit licenses"]
+
+
+def test_findings_equal_brute_force(spark, documents):
+    given = texts()
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    found = {r["doc_id"]: tuple(r[n] for n in names) for r in scan(documents(given)).collect()}
+    assert found == {i: slow(t) for i, t in enumerate(given)}
+    assert sum(f[-1] > 0 for f in found.values()) > 60
+
+
+def test_join_finds_every_pair_at_any_threshold(spark):
+    rng = random.Random(2)
+    letters = list("abcdefghij")
+    templates = [(f"t{i}", " ".join(rng.sample(letters, rng.randrange(1, 9)))) for i in range(12)]
+    blocks = [(i, sorted(rng.sample(letters, rng.randrange(1, 10)))) for i in range(150)]
+    table = spark.createDataFrame(blocks, "row bigint, known array<string>")
+    for threshold in (0.3, 0.5, 0.75, 1.0):
+        found = {(r["row"], r["label"]) for r in similar_blocks(table, Settings(threshold), templates).collect()}
+        expected = {
+            (i, label)
+            for i, known in blocks
+            for label, text in templates
+            if len(set(known) & set(text.split())) / len(set(text.split())) >= threshold
+        }
+        assert found == expected
+
+
+def test_odd_tables(spark, documents):
+    docs = documents([(None, "mit license"), (None, "mit license"), (3, None)])
+    docs = docs.withColumns({c: F.lit("x") for c in ("row", "label", "score", "known", "places", "owner", "word")})
+    rows = sorted(map(tuple, scan(docs).collect()), key=str)
+    assert rows == [(3, 0, 0, None, None, "", "", 0.0)] + [(None, 2, 1, 0, 0, "mit", "mit", 0.0)] * 2
+    assert scan(docs.where("false")).count() == 0
+
+
+def test_registered_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    df = QUERIES["op4_license_scan"](spark, folder)
+    assert difference(df, duck(folder), ORACLES["op4_license_scan"]) is None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import importance, url_filters
+from tickloom.llm import importance, license_scan, url_filters
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -34,6 +34,10 @@ def op3_url_filter(spark, sf_dir):
     return url_filters.judge(_table(spark, sf_dir, "pages"), [url_filters.Rule.read(r) for r in URL_RULES])
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -74,6 +78,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filter": op3_url_filter,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
@@ -144,4 +149,40 @@ SELECT page_id, host, path, rule, a IS NOT NULL AS alias_blocked,
        coalesce(action, CASE WHEN a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN blocked ON url = a"""
 
-ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL}
+def _list_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _phrase_sql(phrase: str, label: str) -> str:
+    hits = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+    return f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {hits}), lambda i: {{'start': i - 1, 'label': '{label}'}})"
+
+
+_PLACES_SQL = " || ".join(_phrase_sql(*p) for p in license_scan.PHRASES)
+_TEMPLATES_SQL = ", ".join(f"('{label}', {_list_sql(sorted(set(text.split())))})" for label, text in license_scan.TEMPLATES)
+_WORDS_SQL = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+LICENSE_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}') AS t FROM documents),
+templates(label, own) AS (VALUES {_TEMPLATES_SQL}),
+base AS (
+  SELECT doc_id, len(w) AS n_words, {_PLACES_SQL} AS places
+  FROM (SELECT doc_id, {_WORDS_SQL.format('t')} AS w FROM texts)),
+lines AS (
+  SELECT doc_id, {_WORDS_SQL.format('line')} AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)),
+alike AS (
+  SELECT doc_id, label, max(len(list_intersect(w, own)) / len(own)) AS score
+  FROM lines, templates WHERE len(list_intersect(w, own)) / len(own) >= {license_scan.Settings().threshold}
+  GROUP BY ALL),
+best AS (SELECT doc_id, list(label) AS found, max(score) AS score FROM alike GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       list_min(list_transform(places, lambda p: p.start)) AS first_word,
+       list_max(list_transform(places, lambda p: p.start)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda p: p.label) || coalesce(found, []))), ',') AS labels,
+       coalesce(score, 0.0) AS score
+FROM base LEFT JOIN best USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL, "op4_license_scan": LICENSE_SQL}
