@@ -1,0 +1,146 @@
+"""Line dedup against all pairs of lines."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tickloom.llm.lines import Settings, dedup_lines, edit_distance, judge
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("band", [1, 2, 5])
+def test_banded_distance_equals_dynamic_programming(spark, band):
+    rng = random.Random(band)
+    pairs = [("", ""), ("", "a"), ("ab", ""), ("𝒳bc", "𝒳c"), ("é" * 70, "é" * 71)]
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 90)))
+        b = list(a)
+        for _ in range(rng.randrange(0, band + 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(([], ["a"], ["b"]))
+        pairs.append(tuple(rng.sample((a, "".join(b)), 2)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = {r[0]: r[1] for r in df.select("i", edit_distance(F.col("a"), F.col("b"), band)).collect()}
+    for i, (a, b) in enumerate(pairs):
+        real = edits(a, b)
+        assert found[i] == real if real <= band else found[i] > band, (a, b)
+
+
+def slow(rows, shortest=20):
+    """Removed line numbers of every row, from components over all line pairs."""
+    lines = sorted({x for _, t in rows if t is not None for x in t.split("\n") if len(x) >= shortest})
+    parent = {x: x for x in lines}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_length = {}
+    for x in lines:
+        by_length.setdefault(len(x), []).append(x)
+    for x in lines:
+        for y in by_length.get(len(x), []) + by_length.get(len(x) + 1, []):
+            if x != y and near(x, y):
+                parent[root(x)] = root(y)
+    return root
+
+
+def near(x, y):
+    if len(x) > len(y):
+        x, y = y, x
+    head = 0
+    while head < len(x) and x[head] == y[head]:
+        head += 1
+    return x[head + (len(x) == len(y)) :] == y[head + 1 :]
+
+
+def removed_by_hand(found, rows, shortest=20):
+    """``found`` gives each row's text hash, which only orders equal ids."""
+    root = slow(rows, shortest)
+    first, order = {}, {}
+    for (doc_id, text), text_hash in zip(rows, found):
+        for i, x in enumerate(text.split("\n") if text is not None else []):
+            if len(x) >= shortest:
+                place = (doc_id is None, doc_id or 0, text_hash, i)
+                first[root(x)] = min(first.get(root(x), place), place)
+    out = []
+    for (doc_id, text), text_hash in zip(rows, found):
+        gone = [
+            i
+            for i, x in enumerate(text.split("\n") if text is not None else [])
+            if len(x) >= shortest and (doc_id is None, doc_id or 0, text_hash, i) > first[root(x)]
+        ]
+        out.append((doc_id, text_hash, gone))
+    return sorted(out, key=str)
+
+
+def corpus(copies):
+    rng = random.Random(31)
+    say = lambda n: "".join(rng.choice("abcde é") for _ in range(n))
+    bases = [say(n) for n in (20, 21, 40, 130, 200, 400)]
+    rows = []
+
+    def changed(line):
+        chars = list(line)
+        for _ in range(rng.choice((0, 1, 1, 1, 2))):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.randrange(2)] = rng.choice(([], [rng.choice("xyz")]))
+        return "".join(chars)
+
+    for i in range(copies):
+        lines = [changed(rng.choice(bases)) if rng.random() < 0.7 else say(rng.randrange(0, 60)) for _ in range(rng.randrange(0, 6))]
+        rows.append((rng.choice((i, i, 7, None)), "\n".join(lines)))
+    number = say(30)
+    rows += [(5000 + i, f"{number}{i:04d}{number}") for i in range(0, 400, 3)]
+    return rows + [(8000, None), (8001, ""), (8002, "\n\n"), (8003, rows[3][1]), (8003, rows[3][1]), (8004, say(30000))]
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(pairs=2, block=8), Settings(pairs=10**6)])
+def test_removed_lines_equal_brute_force(spark, documents, settings):
+    rows = corpus(250)
+    docs = documents(rows)
+    hashes = {(r[0], r[1]): r[2] for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()}
+    found = sorted(((r["doc_id"], r["text_hash"], r["removed"]) for r in judge(docs, settings).collect()), key=str)
+    expected = removed_by_hand([hashes[row] for row in rows], rows)
+    assert found == expected
+    assert sum(len(r[2]) for r in found) > 200
+
+
+def test_texts_lose_their_removed_lines(spark, documents):
+    long = "this line is long enough to be judged"
+    rows = [(1, f"{long}\nshort\nfirst one here, long enough"), (2, long), (3, f"short\n{long}!\nshort"), (4, None), (5, "  \n"), (None, long)]
+    docs = documents(rows).withColumns({c: F.lit("k") for c in ("removed", "hash", "a", "line", "hit", "left", "doc", "cut_doc")})
+    out = dedup_lines(docs)
+    assert out.columns == docs.columns
+    found = {r["doc_id"]: (r["text"], r["n_chars"], r["hit"]) for r in out.collect()}
+    assert found == {
+        1: (rows[0][1], len(rows[0][1]), "k"),
+        3: ("short\nshort", 11, "k"),
+        4: (None, None, "k"),
+        5: ("  \n", 3, "k"),
+    }
+    assert dedup_lines(docs.where("false")).count() == 0
+    assert judge(docs.where("false")).count() == 0
+
+
+def test_registered_query_equals_brute_force(spark):
+    from tickloom.llm.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("text")).collect()}
+    found = {r["doc_id"]: r["removed"] for r in QUERIES["op8_line_dedup"](spark, folder).collect()}
+    expected = removed_by_hand([hashes[i] for i, _ in rows], rows)
+    assert found == {i: gone for i, _, gone in expected}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import importance, license_scan, url_filters
+from tickloom.llm import importance, license_scan, lines, url_filters
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -64,6 +64,10 @@ def op7_substring_dedup(spark, sf_dir):
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return lines.judge(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     """The sampled documents; every row here is kept."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -82,6 +86,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
 }
