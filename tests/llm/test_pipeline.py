@@ -1,0 +1,118 @@
+"""The pipeline's stages against plain versions, each on its own input."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_decontaminate import slow_closest
+from tests.llm.test_lines import removed_by_hand
+from tests.llm.test_simhash import classes, slow_fingerprint
+from tickloom.llm import decontaminate, importance, simhash
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Input and output rows of every stage."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen, folder = [], tmp_path_factory.mktemp("stages")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        out.write.parquet(f"{folder}/{name}")
+        given, docs = docs, spark.read.parquet(f"{folder}/{name}")
+        seen.append((given, docs))
+    return seen
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_names_and_columns(stages, spark):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5 and "near-dedup" in names[2]
+    columns = spark.read.parquet(f"{FOLDER}/documents.parquet").columns
+    assert all(out.columns == columns for _, out in stages[:-1])
+    assert stages[-1][1].columns == [*columns, "rate"]
+
+
+def test_quality_keeps_clean_documents_and_drops_low_ones(stages, spark):
+    given, out = stages[0]
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").collect()
+    kept, all_ = texts(out), texts(given)
+    clean = [r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0 and r["doc_id"] in all_]
+    low = [r["doc_id"] for r in labels if r["quality"] == 0 and r["doc_id"] in all_]
+    assert sum(i in kept for i in clean) >= 0.98 * len(clean)
+    assert sum(i in kept for i in low) <= 0.15 * len(low)
+    weights = importance.fit(given, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert {r["doc_id"] for r in importance.sample(given, weights).collect()} == set(kept)
+    assert all(all_[i] == t for i, t in kept.items())
+
+
+def test_line_dedup_removes_what_brute_force_does(stages):
+    given, out = stages[1]
+    rows = sorted(texts(given).items())
+    hashes = {r["doc_id"]: r["h"] for r in given.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    expected = {}
+    for doc_id, _, gone in removed_by_hand([hashes[i] for i, _ in rows], rows):
+        lines = [x for i, x in enumerate(texts_of(rows, doc_id).split("\n")) if i not in gone]
+        if not gone or re.search(r"[^\x20\x09-\x0D]", "\n".join(lines)):
+            expected[doc_id] = "\n".join(lines)
+    assert texts(out) == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+
+
+def texts_of(rows, doc_id):
+    return dict(rows)[doc_id]
+
+
+def test_near_dedup_keeps_the_first_of_each_class(stages):
+    given, out = stages[2]
+    prints = {i: slow_fingerprint(t) for i, t in texts(given).items()}
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    found = classes(list(first), lambda a, b: (a ^ b).bit_count() <= 2)
+    expected = {}
+    for value, i in first.items():
+        expected[found[value]] = min(expected.get(found[value], i), i)
+    assert sorted(texts(out)) == sorted(expected.values())
+
+
+def test_decontamination_drops_exactly_the_matches(stages, spark):
+    given, out = stages[3]
+    items = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    settings = decontaminate.Settings()
+    dropped = set(texts(given)) - set(texts(out))
+    whole = {i for i, t in texts(given).items() if any(item in decontaminate.normal(t) for item in items)}
+    assert whole <= dropped
+    for i in dropped - whole:
+        text = decontaminate.normal(texts(given)[i])
+        assert any(slow_closest(x, text)[0] <= decontaminate.budget_of(x, settings) for x in items)
+
+
+def test_mixture_meets_the_targets_and_keeps_documents(stages, spark):
+    given, out = stages[4]
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} <= set(texts(given)) and min(r["rate"] for r in rows) > 0
+    tokens = sum(len(t.split()) for t in texts(given).values())
+    drawn = sum(r["rate"] * len(r["text"].split()) for r in rows)
+    assert drawn == pytest.approx(tokens, rel=0.05)
+    assert len(rows) >= 0.97 * given.count()
+
+
+def test_near_dedup_with_odd_rows(spark, documents):
+    docs = documents([(None, "a b c"), (7, "a b c"), (7, "a b c"), (9, None), (8, ""), (None, "x y z w"), (None, "x y z w")])
+    docs = docs.withColumns({c: F.lit("c") for c in ("fp", "row", "doc", "component", "gone", "hit_")})
+    out = simhash.first_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("7", "a b c"), ("8", ""), ("None", "x y z w")]
+    assert simhash.first_of_each(docs.where("false")).count() == 0
+
+
+def test_run_writes_every_stage(spark, stages):
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert {r["doc_id"] for r in out.collect()} == set(texts(stages[-1][1]))

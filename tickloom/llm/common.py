@@ -51,3 +51,45 @@ def words_of(text: Column) -> Column:
     """Array of the white-space separated words; empty for null and blank text."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
     return F.filter(F.split(trimmed, f"{SPACE}+"), lambda w: w != "")
+
+
+BUCKET_BITS = 22
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << BUCKET_BITS))
+
+
+def _word(column: str) -> Column:
+    return F.shiftright(_bucket(column), 6)
+
+
+def _bit(column: str) -> Column:
+    return _bucket(column).bitwiseAND(63).cast("int")
+
+
+def _bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """Bit map of hash buckets: 2 ** 22 bits in 65,536 rows at most, about 1 MB,
+    whatever the data. That bound is why it may be broadcast."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(key))
+    return keys.select(_word(key).alias("word_"), one.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
+    hit = F.call_function("shiftrightunsigned", F.col("bits_"), _bit(key)).bitwiseAND(1) == 1
+    joined = rows.join(F.broadcast(_bit_map(keys, other)), _word(key) == F.col("word_"), "left")
+    return joined.withColumn("hit_", F.coalesce(hit, F.lit(False))).drop("word_", "bits_")
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
+    """Rows whose ``key`` may be in column ``other`` of ``keys``; none that is is lost.
+
+    A filter ahead of a join, so that a few keys do not move many rows.
+    """
+    return _marked(rows, key, keys, other).where("hit_").drop("hit_")
+
+
+def split_by(rows: DataFrame, key: str, keys: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be in ``keys``, and those where it surely is not."""
+    marked = _marked(rows, key, keys, other)
+    return marked.where("hit_").drop("hit_"), marked.where("NOT hit_").drop("hit_")

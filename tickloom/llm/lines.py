@@ -28,11 +28,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.common import let, new_folder, written
+from tickloom.llm.common import let, maybe_in, new_folder, split_by, written
 from tickloom.llm.components import connected_components
 
 EDITS = 1
-_BUCKET_BITS = 22
 _OWN, _LONGER = 0, 1
 
 
@@ -151,35 +150,6 @@ def _lines(docs: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def _bucket(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << _BUCKET_BITS))
-
-
-def _word(column: str) -> Column:
-    return F.shiftright(_bucket(column), 6)
-
-
-def _bit(column: str) -> Column:
-    return _bucket(column).bitwiseAND(63).cast("int")
-
-
-def _map_of(wanted: DataFrame, column: str) -> DataFrame:
-    """Bit map of hash buckets: 2 ** 22 bits in 65,536 rows at most, about 1 MB,
-    whatever the data. That bound is why it may be broadcast."""
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(column))
-    return wanted.select(_word(column).alias("word_"), one.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
-
-
-def _hit(column: str) -> Column:
-    return F.call_function("shiftrightunsigned", F.col("bits_"), _bit(column)).bitwiseAND(1) == 1
-
-
-def _within(rows: DataFrame, key: str, wanted: DataFrame, other: str) -> DataFrame:
-    """Rows that may have their ``key`` in ``wanted``; never loses one that has."""
-    near = rows.join(F.broadcast(_map_of(wanted, other)), _word(key) == F.col("word_"))
-    return near.where(_hit(key)).drop("word_", "bits_")
-
-
 def _meeting(distinct: DataFrame, folder: str) -> DataFrame:
     """Entries (key, a, place) whose key several lines have, and how many."""
     entries = distinct.select("a", F.posexplode("keys").alias("place", "key"))
@@ -190,7 +160,7 @@ def _meeting(distinct: DataFrame, folder: str) -> DataFrame:
         .select(F.col("key").alias("met_key"), "lines"),
         f"{folder}/met",
     )
-    near = _within(entries, "key", met, "met_key")
+    near = maybe_in(entries, "key", met, "met_key")
     return written(near.join(met, F.col("key") == F.col("met_key")).drop("met_key"), f"{folder}/entries")
 
 
@@ -207,7 +177,7 @@ def _texts(docs: DataFrame, distinct: DataFrame, entries: DataFrame, folder: str
     each = written(each, f"{folder}/places")
     text = F.col("text").cast("string")
     all_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    holders = _within(all_, "text_hash", each, "in_text")
+    holders = maybe_in(all_, "text_hash", each, "in_text")
     joined = holders.join(each, (F.col("text_hash") == F.col("in_text")) & F.col("doc_id").eqNullSafe(F.col("in_doc")))
     lines = let(
         F.split("text", "\n"),
@@ -371,11 +341,8 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     found = written(found, new_folder(spark, "cut-lines"))
     text = F.col("text").cast("string")
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text).alias("hash"))
-    touched = marked.join(
-        F.broadcast(_map_of(found, "cut_hash")), _word("hash") == F.col("word_"), "left"
-    ).withColumn("hit", F.coalesce(_hit("hash"), F.lit(False))).drop("word_", "bits_")
-    untouched = touched.where("NOT hit").select("doc.*")
-    cut = touched.where("hit").join(
+    touched, untouched = split_by(marked, "hash", found, "cut_hash")
+    cut = touched.join(
         found, (F.col("hash") == F.col("cut_hash")) & F.col("doc.doc_id").cast("bigint").eqNullSafe(F.col("cut_doc")), "left"
     )
     lines = F.split(F.col("doc.text").cast("string"), "\n")
@@ -390,4 +357,4 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         else F.col("doc").getField(c).alias(c)
         for c in names
     ]
-    return untouched.unionByName(cut.select(*columns))
+    return untouched.select("doc.*").unionByName(cut.select(*columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import importance, license_scan, lines, url_filters
+from tickloom.llm import importance, license_scan, lines, mixing, url_filters
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -20,6 +20,11 @@ def op1_quality_rules(spark, sf_dir):
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark, sf_dir):
+    rated = mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rated.drop("text_hash")
+
+
 # The rules that the query applies.
 URL_RULES = (
     "allow com/",
@@ -81,6 +86,7 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

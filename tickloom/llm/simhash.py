@@ -13,11 +13,13 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
-from tickloom.llm.common import new_folder, written
+from tickloom.llm.common import new_folder, split_by, written
 from tickloom.llm.components import connected_components
 
 SEED = 42
@@ -93,6 +95,13 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
     return a.join(b, "key").where(near & (F.col("bit_a").isNotNull() | (F.col("a") < F.col("b")))).select("a", "b")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """``fp`` and ``component`` (its smallest fingerprint) of distinct fingerprints."""
+    parts = connected_components(linked_pairs(fps.select("fp")))
+    joined = fps.join(parts, fps["fp"] == parts["node"], "left")
+    return joined.select(*fps.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``.
 
@@ -101,17 +110,48 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     a null id keep their row and give no name: a component of such rows alone
     has a null name. Documents without a word share fingerprint zero.
     """
-    spark = docs.sparkSession
-    folder = new_folder(spark, "simhash")
+    folder = new_folder(docs.sparkSession, "simhash")
     marked = written(fingerprints(docs, size), f"{folder}/fingerprints")
     distinct = written(
         marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{folder}/distinct"
     )
-    parts = connected_components(linked_pairs(distinct.select("fp")))
-    placed = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
-    placed = written(placed, f"{folder}/placed")
+    placed = written(classes(distinct), f"{folder}/placed")
     named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = written(placed.join(named, "component").select("fp", "component_id"), f"{folder}/classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = written(placed.join(named, "component").select("fp", "component_id"), f"{folder}/classes")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _fingerprint_column(text: str, size: int) -> Column:
+    @pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
+
+    return run(F.col(text).cast("binary"))
+
+
+def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of ``docs`` from each component: the one with the smallest id.
+
+    Null ids come last; of rows that tie, the first one stays. Rows that stay
+    anyway are not moved: only those in the hash buckets of rows to drop are.
+    """
+    folder = new_folder(docs.sparkSession, "simhash")
+    marked = docs.select(
+        F.struct(*docs.columns).alias("doc"),
+        F.monotonically_increasing_id().alias("row"),
+        _fingerprint_column("text", size).alias("fp"),
+    )
+    marked = written(marked, f"{folder}/documents")
+    rows = marked.select("row", "fp", F.col("doc.doc_id").cast("bigint").alias("doc_id"))
+    known = written(classes(rows.select("fp").distinct()), f"{folder}/classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    ranked = rows.join(known, "fp").select("component", rank.alias("rank"))
+    kept = written(ranked.groupBy("component").agg(F.min("rank").alias("best")), f"{folder}/kept")
+    dropped = written(
+        rows.join(kept.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_anti")
+        .select(F.col("row").alias("gone")),
+        f"{folder}/dropped",
+    )
+    touched, untouched = split_by(marked.select("doc", "row"), "row", dropped, "gone")
+    stay = touched.join(dropped, F.col("row") == F.col("gone"), "left_anti")
+    return untouched.unionByName(stay).select("doc.*")
