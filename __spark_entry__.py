@@ -9,7 +9,7 @@ whole, so that sums are exact and results can be compared without rounding.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,8 +31,10 @@ from tickloom.operators import (
 from tickloom.params import JobParams
 from tickloom.plans import (
     batch_layer,
+    build_batch_layer,
     lookback,
     narrow_rows,
+    read_batch_layer,
     refresh_batch_layer,
     serving_view,
     to_relational_rows,
@@ -69,6 +71,8 @@ else:
 ZONE = "America/New_York"
 SPAN = "1 hour"
 SPLIT = datetime(2024, 1, 16)
+REFRESH = (datetime(2024, 1, 8), datetime(2024, 1, 12))
+STRAY = datetime(2031, 1, 1)
 WINDOW = (datetime(2024, 1, 5, 6), datetime(2024, 1, 20, 18))
 
 
@@ -202,9 +206,26 @@ def batch_layer_table(spark, sf_dir):
     """All dates, written and then partly recomputed from the raw ticks."""
     path = new_folder(spark, "batch")
     ticks = _ticks(spark, sf_dir)
-    write_rows(batch_layer(ticks), path)
-    refresh_batch_layer(ticks, path, SPLIT, datetime(2024, 1, 20), overlap="11 days")
-    return _zoneless(read_rows(spark, path))
+    build_batch_layer(ticks, path)
+    refresh_batch_layer(ticks, path, SPLIT, datetime(2024, 1, 20))
+    return _zoneless(read_batch_layer(spark, path))
+
+
+def batch_refresh(spark, sf_dir):
+    """A table of other ticks, refreshed until it is that of all ticks.
+
+    At first every third trade polled on the refreshed dates is missing, so that
+    copies polled later are counted, and a date beyond the data has rows that
+    are withdrawn.
+    """
+    path = new_folder(spark, "batch")
+    ticks = _ticks(spark, sf_dir)
+    missing = F.col("api_call_timestamp").between(*map(F.lit, REFRESH)) & (F.col("trade_id") % 3 == 0)
+    strays = ticks.where(F.col("trade_id") % 5 == 1).withColumn("api_call_timestamp", F.lit(STRAY).cast("timestamp"))
+    build_batch_layer(ticks.where(~missing).unionByName(strays), path)
+    refresh_batch_layer(ticks, path, *REFRESH)
+    refresh_batch_layer(ticks, path, STRAY, STRAY + timedelta(days=1))
+    return _zoneless(read_batch_layer(spark, path))
 
 
 def lookback_window(spark, sf_dir):
@@ -216,10 +237,12 @@ def lookback_window(spark, sf_dir):
 
 def serving(spark, sf_dir):
     """Accurate rows up to a date; beyond it rows that still count repeats."""
+    path = new_folder(spark, "serving")
     ticks = _ticks(spark, sf_dir)
-    batch = batch_layer(ticks).where(F.col("api_call_timestamp_utc") < F.lit(SPLIT))
-    speed = to_table_rows(tick_metrics(ticks))
-    return _zoneless(serving_view(batch, speed))
+    write_rows(batch_layer(ticks), f"{path}/batch")
+    write_rows(to_table_rows(tick_metrics(ticks)), f"{path}/speed")
+    tables = (read_rows(spark, f"{path}/{name}") for name in ("batch", "speed"))
+    return _zoneless(serving_view(*tables, SPLIT).drop(DATE))
 
 
 # --- streams ---------------------------------------------------------------
@@ -228,7 +251,7 @@ def serving(spark, sf_dir):
 def _replay(spark, sf_dir, start, **changes) -> str:
     """Run a job over the waves, stopping and resuming it after each one."""
     root = new_folder(spark, "replay")
-    params = JobParams(delay=LAG, message_topic="metrics", **changes)
+    params = JobParams(available_now=True, delay=LAG, message_topic="metrics", **changes)
     for _ in write_waves(spark, sf_dir, f"{root}/raw"):
         run_to_end(start(spark, params, f"{root}/checkpoint", root))
     return root
@@ -244,7 +267,8 @@ def speed_layer_append(spark, sf_dir):
 
 
 def speed_layer_one_lane(spark, sf_dir):
-    root = _replay(spark, sf_dir, _to_table, lanes=1)
+    """The same with state in memory, and without trades that have no id."""
+    root = _replay(spark, sf_dir, _to_table, rocksdb=False, null_ids="drop")
     return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
 
 
@@ -270,7 +294,7 @@ def speed_layer_revisions(spark, sf_dir):
 
 
 def speed_layer_compacted(spark, sf_dir):
-    root = _replay(spark, sf_dir, _to_table, output_mode="update", products=("P1", "P4"))
+    root = _replay(spark, sf_dir, _to_table, output_mode="update")
     compact_table(spark, f"{root}/table", f"{root}/compacted", upto=3)
     current = read_table(spark, f"{root}/table", f"{root}/compacted", upto=3)
     return _zoneless(current.drop(DATE))
@@ -285,7 +309,7 @@ def messages_roundtrip(spark, sf_dir):
         )
 
     root = _replay(spark, sf_dir, start)
-    params = JobParams(message_topic="metrics")
+    params = JobParams(available_now=True, message_topic="metrics")
     run_to_end(
         start_message_echo(spark, params, f"{root}/echo-checkpoint", f"{root}/messages", f"{root}/echo")
     )
@@ -301,6 +325,19 @@ def landed_ticks(spark, sf_dir):
     return _zoneless(read_landed_ticks(spark, f"{root}/ticks").drop(DATE))
 
 
+def lambda_chain(spark, sf_dir):
+    """Stream to landed ticks to batch table, stream to speed table, one view."""
+
+    def start(spark, params, checkpoint, root):
+        run_to_end(land_ticks(spark, params.but(dedup="forever"), f"{root}/landing", f"{root}/ticks", f"{root}/raw"))
+        return _to_table(spark, params, checkpoint, root)
+
+    root = _replay(spark, sf_dir, start, output_mode="update")
+    build_batch_layer(read_landed_ticks(spark, f"{root}/ticks"), f"{root}/batch")
+    batch = read_batch_layer(spark, f"{root}/batch")
+    return _zoneless(serving_view(batch, read_table(spark, f"{root}/table"), SPLIT).drop(DATE))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Records to table rows, the whole chain in batch."""
     return table_rows(spark, "/root/testdata/sf0.001")
@@ -331,7 +368,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "local_time": local_times,
         "batch_layer": batch_layer_table,
         "lookback": lookback_window,
+        "batch_refresh": batch_refresh,
         "serving_view": serving,
+        "lambda_chain": lambda_chain,
         "speed_layer_append": speed_layer_append,
         "speed_layer_one_lane": speed_layer_one_lane,
         "speed_layer_forever": speed_layer_forever,
@@ -479,6 +518,8 @@ def oracle_sql() -> dict[str, str]:
             FROM uniq""",
         "batch_layer": f"""{base}
             SELECT {_rows()}, CAST(api_call_timestamp AS DATE) AS api_call_date FROM metrics""",
+        "batch_refresh": f"""{base}
+            SELECT {_rows()}, CAST(api_call_timestamp AS DATE) AS api_call_date FROM metrics""",
         "lookback": f"""{base}
             SELECT {_rows()} FROM metrics WHERE {window} AND product_id IN ('P0', 'P2')""",
         "serving_view": _with(
@@ -488,9 +529,10 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
         )
         + f"""SELECT {_rows()}, 'batch' AS layer FROM accurate
             UNION ALL
-            SELECT {_rows()}, 'speed' FROM rough r WHERE NOT EXISTS (
-              SELECT 1 FROM accurate a WHERE a.api_call_timestamp = r.api_call_timestamp
-                                         AND a.product_id = r.product_id)""",
+            SELECT {_rows()}, 'speed' FROM rough WHERE api_call_timestamp >= '2024-01-16'""",
+        "lambda_chain": f"""{base}
+            SELECT {_rows()}, CASE WHEN api_call_timestamp < '2024-01-16' THEN 'batch' ELSE 'speed' END AS layer
+            FROM metrics""",
         "speed_layer_append": f"{base} SELECT {_rows()} FROM metrics WHERE {published}",
         "speed_layer_one_lane": f"{base} SELECT {_rows()} FROM metrics WHERE {published}",
         "speed_layer_forever": f"{base} SELECT {_rows()} FROM metrics WHERE {published}",
@@ -499,8 +541,7 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
             SELECT poll AS api_call_timestamp_utc, product_id,
                    count(DISTINCT event_id % 6 = 1) AS revisions
             FROM uniq GROUP BY 1, 2""",
-        "speed_layer_compacted": f"""{base}
-            SELECT {_rows()} FROM metrics WHERE product_id IN ('P1', 'P4')""",
+        "speed_layer_compacted": f"{base} SELECT {_rows()} FROM metrics",
         "messages_roundtrip": f"{base} SELECT * FROM metrics WHERE {published}",
         "landed_ticks": f"{base} {ticks} uniq",
         **CORPUS_SQL,

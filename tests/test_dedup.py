@@ -20,9 +20,11 @@ def test_first_poll_wins(records):
     assert rows == {"a": (1, "1.0"), "b": (1, "1.0"), "c": (2, "1.0")}
 
 
-def test_columns_and_lane(records):
-    ticks = parse_ticks(records([(at("00:00:00"), [trade("a")])]), lanes=4)
-    assert unique_ticks(ticks, lanes=4).columns == [c for c in ticks.columns if c != "lane"]
+def test_missing_ids_are_one_trade_or_none(records):
+    ticks = parse_ticks(records([(at("00:00:00"), [trade("a"), trade(None)]), (at("00:00:01"), [trade(None)])]))
+    assert unique_ticks(ticks).count() == 2
+    assert [r["trade_id"] for r in unique_ticks(ticks, null_ids="drop").collect()] == ["a"]
+    assert unique_ticks(ticks).columns == ticks.columns
 
 
 def test_key_of_product_and_trade(records):

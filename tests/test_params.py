@@ -29,10 +29,10 @@ def test_environment_and_overrides():
 def test_defaults():
     params = JobParams()
     assert (params.delay, params.dedup, params.dedup_keys) == ("1 minute", "bounded", ("trade_id",))
-    assert (params.output_mode, params.strict_source, params.starting_offsets) == ("append", False, "latest")
+    assert (params.output_mode, params.strict_source, params.starting_offsets) == ("append", True, "latest")
 
 
-@pytest.mark.parametrize("wrong", [{"dedup": "never"}, {"source": "socket"}, {"lanes": 0}])
+@pytest.mark.parametrize("wrong", [{"dedup": "never"}, {"source": "socket"}, {"null_ids": "keep"}])
 def test_wrong_values_are_refused(wrong):
     with pytest.raises(ValueError):
         JobParams(**wrong)
@@ -44,7 +44,7 @@ def test_parameters_are_frozen():
 
 
 def test_broker_options():
-    params = JobParams(broker="b:1", raw_topic="raw", min_partitions=64)
+    params = JobParams(broker="b:1", raw_topic="raw", min_partitions=64, strict_source=False)
     assert kafka_options(params, "raw") == {
         "kafka.bootstrap.servers": "b:1",
         "subscribe": "raw",
@@ -58,8 +58,9 @@ def test_broker_options():
 
 
 def test_file_options_follow_strictness():
-    assert file_options(JobParams())["ignoreMissingFiles"] == "true"
-    assert file_options(JobParams(strict_source=True))["ignoreMissingFiles"] == "false"
+    assert file_options(JobParams(strict_source=False))["ignoreMissingFiles"] == "true"
+    assert file_options(JobParams())["ignoreMissingFiles"] == "false"
+    assert file_options(JobParams())["ignoreCorruptFiles"] == "false"
     assert file_options(JobParams(max_files_per_trigger=3))["maxFilesPerTrigger"] == "3"
 
 
@@ -78,8 +79,9 @@ def test_session_settings():
 
 def test_stream_session_width(spark):
     width = "spark.sql.shuffle.partitions"
-    cores = spark.sparkContext.defaultParallelism
-    assert int(stream_session(spark, JobParams()).conf.get(width)) <= cores
+    wide = spark.newSession()
+    wide.conf.set(width, "40")
+    assert stream_session(wide, JobParams()).conf.get(width) == "40"
     assert stream_session(spark, JobParams(state_partitions=37)).conf.get(width) == "37"
     assert spark.conf.get(width) == "4"
 
@@ -99,3 +101,10 @@ def test_a_session_outside_utc_is_refused(spark):
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_a_broker_job_needs_its_names():
+    with pytest.raises(ValueError, match="KAFKA_BROKER, RAW_TRADES_KAFKA_TOPIC"):
+        JobParams(source="kafka", message_topic="m").require_names()
+    JobParams(source="kafka", broker="b", raw_topic="r", message_topic="m").require_names()
+    JobParams().require_names()

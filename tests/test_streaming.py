@@ -1,5 +1,7 @@
 """The scripted seven-file stream, restarts, retries and the sinks."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from tickloom.streaming import (
 )
 from tickloom.streaming.sinks import speed_writer
 
-PARAMS = JobParams(lanes=1, max_files_per_trigger=1, state_partitions=2, rocksdb=False)
+PARAMS = JobParams(available_now=True, max_files_per_trigger=1, state_partitions=2, rocksdb=False)
 
 SCRIPT = [
     [("00:00:00", "a", "1"), ("00:00:00", "b", "2")],
@@ -54,13 +56,14 @@ def published(spark, table):
     )
 
 
+@pytest.mark.parametrize("rocksdb", [True, False])
 @pytest.mark.parametrize(
     "mode, states",
     [("forever", [2, 3, 4, 5, 6, 8, 9]), ("bounded", [2, 3, 4, 1, 2, 4, 5])],
 )
-def test_scripted_stream_in_append_mode(spark, topic, tmp_path, mode, states):
+def test_scripted_stream_in_append_mode(spark, topic, tmp_path, mode, states, rocksdb):
     play(topic, SCRIPT)
-    params = PARAMS.but(dedup=mode)
+    params = PARAMS.but(dedup=mode, rocksdb=rocksdb)
     query = run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
     assert published(spark, str(tmp_path / "t")) == [
         (3, "00:00:00", 2, 3.0),
@@ -103,21 +106,22 @@ def test_complete_mode_is_accepted(spark, topic, tmp_path):
     ]
 
 
-def test_returning_id_is_admitted_again_only_in_bounded_mode(spark, topic, tmp_path):
+@pytest.mark.parametrize("rocksdb", [True, False])
+def test_returning_id_is_admitted_again_only_in_bounded_mode(spark, topic, tmp_path, rocksdb):
     script = [*SCRIPT, [("00:20:00", "z", "1")]]
     play(topic, script)
     volumes = {}
     for mode in ("forever", "bounded"):
         folder = tmp_path / mode
-        params = PARAMS.but(dedup=mode)
+        params = PARAMS.but(dedup=mode, rocksdb=rocksdb)
         run_to_end(start_speed_layer(spark, params, str(folder / "c"), str(folder / "t"), topic.path))
         volumes[mode] = {row[1]: row[2] for row in published(spark, str(folder / "t"))}
     assert volumes["forever"]["00:10:01"] == 1
     assert volumes["bounded"]["00:10:01"] == 2
 
 
-@pytest.mark.parametrize("lanes", [1, 5])
-def test_lanes_do_not_change_the_result(spark, topic, tmp_path, lanes):
+@pytest.mark.parametrize("null_ids", ["dedup", "drop"])
+def test_hot_and_missing_ids(spark, topic, tmp_path, null_ids):
     """One id, and one missing id, are in a third of all rows each."""
     for minute in range(6):
         topic.add(
@@ -126,13 +130,13 @@ def test_lanes_do_not_change_the_result(spark, topic, tmp_path, lanes):
                 for s in range(30)
             ]
         )
-    params = PARAMS.but(dedup="forever", lanes=lanes)
+    params = PARAMS.but(dedup="forever", null_ids=null_ids)
     run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
     rows = read_table(spark, str(tmp_path / "t")).collect()
     first = min(rows, key=lambda r: r["api_call_timestamp_utc"])
     # Which copy within the first file survives is open, but only one does.
     assert sum(r["num_trades"] for r in rows) == len(rows) + 1
-    assert sum(r["share_volume"] for r in rows) == len(rows) + 2
+    assert sum(r["share_volume"] for r in rows) == len(rows) + (2 if null_ids == "dedup" else 1)
     assert clock(first["api_call_timestamp_utc"]) == "00:00:00"
     assert all(r["num_trades"] == 1 for r in rows if r["api_call_timestamp_utc"].minute > 0)
 
@@ -145,7 +149,7 @@ def test_stream_and_tail_equal_the_batch_layer(spark, topic, tmp_path):
                 (shift(at("00:00:00"), seconds=second), [trade(str(i), f"P{i % 3}", str(i), str(i % 7)) for i in range(second, second + 25)])
             ]
         )
-    params = PARAMS.but(output_mode="update", lanes=4, rocksdb=True)
+    params = PARAMS.but(output_mode="update", rocksdb=True)
     run_to_end(start_speed_layer(spark, params, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
     streamed = read_table(spark, str(tmp_path / "t")).drop(DATE)
     ticks = unique_ticks_source(spark, topic)
@@ -334,7 +338,7 @@ def test_streaming_plan_has_one_watermark_and_two_stateful_steps(spark, topic):
     plan = metrics._jdf.queryExecution().analyzed().toString()
     assert metrics.isStreaming
     assert plan.count("EventTimeWatermark") == 1 and plan.count("Deduplicate") == 1
-    assert unique_ticks(tick_stream(spark, PARAMS.but(lanes=4), topic.path), lanes=4).columns == [
+    assert unique_ticks(tick_stream(spark, PARAMS, topic.path)).columns == [
         "api_call_timestamp",
         "trade_id",
         "product_id",
@@ -342,3 +346,59 @@ def test_streaming_plan_has_one_watermark_and_two_stateful_steps(spark, topic):
         "size",
         "side",
     ]
+
+
+def test_a_retried_batch_leaves_no_old_date_in_a_dynamic_session(spark, tmp_path):
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    ddl = (
+        "api_call_timestamp timestamp, product_id string, num_trades bigint, num_sell_trades bigint, "
+        "num_buy_trades bigint, share_volume double, avg_share_price double"
+    )
+    row = lambda day: (shift(at("00:05:00"), days=day), "P", 1, 0, 1, 4.0, 1.0)
+    write = speed_writer(str(tmp_path / "t"), PARAMS)
+    write(session.createDataFrame([row(0), row(1)], ddl), 0)
+    write(session.createDataFrame([row(0)], ddl), 0)
+    assert read_table(spark, str(tmp_path / "t")).count() == 1
+
+
+def test_a_broken_file_fails_the_stream_unless_told_otherwise(spark, topic, tmp_path):
+    play(topic, SCRIPT[:2])
+    with open(f"{topic.path}/0001.parquet", "r+b") as file:
+        file.truncate(40)
+    with pytest.raises(Exception, match="(?s)0001.parquet|CANNOT_READ|footer"):
+        run_to_end(start_speed_layer(spark, PARAMS, str(tmp_path / "c"), str(tmp_path / "t"), topic.path))
+    tolerant = PARAMS.but(strict_source=False, output_mode="update")
+    run_to_end(start_speed_layer(spark, tolerant, str(tmp_path / "c2"), str(tmp_path / "t2"), topic.path))
+    assert read_table(spark, str(tmp_path / "t2")).count() == 1
+    with pytest.raises(Exception, match="(?s)0001.parquet|CANNOT_READ|footer"):
+        read_records(spark, tolerant, topic.path).count()
+
+
+def test_the_whole_job_runs_live_and_grows(spark, topic, tmp_path):
+    from tickloom import job
+
+    play(topic, SCRIPT[:3])
+    params = JobParams(output_mode="update", state_partitions=2, message_topic="metrics")
+    folder, echo = str(tmp_path / "job"), str(tmp_path / "echo")
+    queries = job.start(spark, params, folder, topic.path, echo)
+
+    def wait_for(rows):
+        limit = time.time() + 120
+        while time.time() < limit and all(q.isActive for q in queries):
+            for q in queries:
+                q.processAllAvailable()
+            if read_revisions(spark, f"{folder}/table").count() >= rows and spark.read.parquet(echo).count() >= rows:
+                return True
+        return False
+
+    try:
+        assert wait_for(3)
+        play(topic, SCRIPT[4:5])
+        assert wait_for(4)
+        assert read_landed_ticks(spark, f"{folder}/ticks").count() == 5
+    finally:
+        for q in queries:
+            q.stop()
+    with pytest.raises(ValueError, match="KAFKA_BROKER"):
+        job.start(spark, JobParams(source="kafka"), folder)

@@ -19,7 +19,9 @@ from tickloom.operators import (
 from tickloom.params import JobParams, build_session
 from tickloom.plans import (
     batch_layer,
+    build_batch_layer,
     lookback,
+    read_batch_layer,
     refresh_batch_layer,
     serving_view,
     to_relational_rows,
@@ -31,6 +33,7 @@ from tickloom.streaming import land_ticks, start_message_echo, start_speed_layer
 __all__ = [
     "JobParams",
     "batch_layer",
+    "build_batch_layer",
     "build_session",
     "echo_rows",
     "land_ticks",
@@ -39,6 +42,7 @@ __all__ = [
     "parse_ticks",
     "per_second",
     "price_change",
+    "read_batch_layer",
     "read_records",
     "recent_volume",
     "refresh_batch_layer",

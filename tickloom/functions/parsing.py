@@ -19,34 +19,19 @@ def trades_of(value: Column, fields=TRADE_FIELDS, enveloped: bool = False) -> Co
     return F.from_json(text, payload_ddl(fields))
 
 
-def lane_of(lanes: int) -> Column:
-    """Which of ``lanes`` lanes a message travels in.
-
-    Taken from the message's place in its topic, so that it is the same on
-    every replay and spreads one trade id over all lanes.
-    """
-    place = F.xxhash64("topic", "partition", "offset", "timestamp")
-    return F.pmod(place, F.lit(lanes)).cast("int")
-
-
 def parse_ticks(
     records: DataFrame,
     fields=TRADE_FIELDS,
     enveloped: bool = False,
-    lanes: int = 1,
     products=(),
 ) -> DataFrame:
     """One row per trade: ``api_call_timestamp`` and the trade's text fields.
 
-    Works on batch and stream. Null and empty arrays give no row. With
-    ``lanes`` above 1 a column ``lane`` is added for :func:`unique_ticks`;
+    Works on batch and stream. Null and empty arrays give no row.
     ``products`` keeps only those products.
     """
-    kept = [F.col("timestamp").alias("api_call_timestamp")]
-    if lanes > 1:
-        kept.append(lane_of(lanes).alias("lane"))
     trades = trades_of(F.col("value"), fields, enveloped)
-    ticks = records.select(*kept, F.inline(trades))
+    ticks = records.select(F.col("timestamp").alias("api_call_timestamp"), F.inline(trades))
     return select_products(ticks, products) if products else ticks
 
 

@@ -12,7 +12,7 @@ def unique_ticks(
     keys=("trade_id",),
     delay: str = "1 minute",
     mode: str = "bounded",
-    lanes: int = 1,
+    null_ids: str = "dedup",
 ) -> DataFrame:
     """One row per trade, attributed to the first poll that returned it.
 
@@ -21,24 +21,16 @@ def unique_ticks(
     ``bounded`` forgets an id ``delay`` after its first poll. A batch has no
     watermark and keeps the earliest poll, see :func:`first_polls`.
 
-    ``lanes`` above 1 (with the column ``lane`` of ``parse_ticks``) protects a
-    stream from a hot id. A stateful dedup cannot combine rows before its
-    shuffle, so all copies of one id would meet in one task. The first pass
-    therefore dedups on (id, lane) and spreads the copies over the lanes; at
-    most one row per lane and ``delay`` reaches the second pass, which alone
-    decides. The first pass is always bounded, so in ``forever`` mode the
-    result is exactly that of one pass; in ``bounded`` mode an id that comes
-    back after ``delay`` may stay suppressed for up to one more ``delay``.
+    A stateful dedup sends all copies of an id to one task. Genuine ids repeat
+    as often as polls overlap; a missing id can be in any share of the rows.
+    ``null_ids="drop"`` leaves rows without a key out before that shuffle.
     """
-    if not ticks.isStreaming:
-        rows = ticks.drop("lane") if "lane" in ticks.columns else ticks
-        return first_polls(rows, keys)
     keys = list(keys)
+    if null_ids == "drop":
+        ticks = ticks.dropna(subset=keys)
+    if not ticks.isStreaming:
+        return first_polls(ticks, keys)
     marked = ticks.withWatermark(EVENT_TIME, delay)
-    if lanes > 1:
-        marked = marked.dropDuplicatesWithinWatermark([*keys, "lane"])
-    if "lane" in marked.columns:
-        marked = marked.drop("lane")
     if mode == "forever":
         return marked.dropDuplicates(keys)
     return marked.dropDuplicatesWithinWatermark(keys)

@@ -14,6 +14,7 @@ def measures(numbers: str = "double") -> list[Column]:
     counted ones, or none, counts for neither. The price mean is unweighted.
     Numbers that cannot be read are left out.
     """
+    # The names of the columns and of the two sides.
     return [
         F.count("trade_id").alias("num_trades"),
         F.count_if(F.col("side") == F.lit("SELL")).alias("num_sell_trades"),

@@ -30,16 +30,20 @@ class JobParams:
 
     ``dedup``            ``bounded`` forgets an id once the watermark has passed
                          it; ``forever`` never forgets one.
-    ``lanes``            how many ways a hot trade id is split before the
-                         authoritative dedup; 1 switches the splitting off.
+    ``null_ids``         ``dedup`` treats trades without an id as one trade;
+                         ``drop`` leaves them out, so that they cannot all meet
+                         in one state task.
     ``state_partitions`` width of the stateful shuffles. A checkpoint pins it.
-                         None takes the session's shuffle width; a local
-                         session uses no more than one task per core.
+                         None takes the session's shuffle width.
     ``write_tasks``      tasks that write one micro-batch; None leaves one per
                          state partition.
     ``max_bytes_per_trigger``, ``max_files_per_trigger``
                          how much of a file source one micro-batch takes.
-    ``strict_source``    fail when the source lost data instead of going on.
+    ``strict_source``    fail when the source lost data; False lets a stream go
+                         on without it. Batch reads are always strict.
+    ``available_now``    process what is there and end. Otherwise the job is
+                         live: a batch as soon as the last one ended, or every
+                         ``trigger_interval``.
     """
 
     raw_topic: str | None = None
@@ -56,18 +60,19 @@ class JobParams:
     delay: str = "1 minute"
     dedup: str = "bounded"
     dedup_keys: tuple[str, ...] = ("trade_id",)
-    lanes: int = 16
+    null_ids: str = "dedup"
     numbers: str = "double"
     output_mode: str = "append"
     state_partitions: int | None = None
     rocksdb: bool = True
-    strict_source: bool = False
+    strict_source: bool = True
     starting_offsets: str = "latest"
     min_partitions: int | None = None
     max_files_per_trigger: int | None = None
     max_bytes_per_trigger: int | None = None
     write_tasks: int | None = None
     trigger_interval: str | None = None
+    available_now: bool = False
     app_name: str = "tickloom"
 
     def __post_init__(self):
@@ -75,8 +80,8 @@ class JobParams:
             raise ValueError(f"dedup is 'bounded' or 'forever', not {self.dedup!r}")
         if self.source not in ("files", "kafka"):
             raise ValueError(f"source is 'files' or 'kafka', not {self.source!r}")
-        if self.lanes < 1:
-            raise ValueError("lanes must be at least 1")
+        if self.null_ids not in ("dedup", "drop"):
+            raise ValueError(f"null_ids is 'dedup' or 'drop', not {self.null_ids!r}")
 
     @classmethod
     def from_env(cls, environ=None, **overrides) -> "JobParams":
@@ -89,6 +94,13 @@ class JobParams:
         }
         return cls(**{**found, **overrides})
 
+    def require_names(self) -> None:
+        """Refuse to start a broker job that does not say where to read and write."""
+        needed = ("broker", "raw_topic", "message_topic") if self.source == "kafka" else ()
+        missing = [ENVIRONMENT[name] for name in needed if not getattr(self, name)]
+        if missing:
+            raise ValueError(f"set {', '.join(missing)}")
+
     def but(self, **changes) -> "JobParams":
         return replace(self, **changes)
 
@@ -136,11 +148,6 @@ def stream_session(spark: SparkSession, params: JobParams) -> SparkSession:
             sibling.conf.set(key, value)
     for key, value in session_settings(params).items():
         sibling.conf.set(key, value)
-    context = spark.sparkContext
-    if not params.state_partitions and context.master.startswith("local"):
-        asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        width = max(1, min(asked, context.defaultParallelism))
-        sibling.conf.set("spark.sql.shuffle.partitions", str(width))
     return sibling
 
 

@@ -1,7 +1,9 @@
 from tickloom.plans.layers import (
     batch_layer,
+    build_batch_layer,
     latest_rows,
     lookback,
+    read_batch_layer,
     refresh_batch_layer,
     serving_view,
     write_rows,
@@ -15,9 +17,11 @@ from tickloom.plans.tables import (
 
 __all__ = [
     "batch_layer",
+    "build_batch_layer",
     "latest_rows",
     "lookback",
     "narrow_rows",
+    "read_batch_layer",
     "refresh_batch_layer",
     "serving_view",
     "to_relational_rows",

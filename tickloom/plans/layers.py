@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.functions.times import instant, utc_date
 from tickloom.operators.dedup import first_polls
 from tickloom.operators.metrics import tick_metrics
 from tickloom.plans.tables import to_table_rows
-from tickloom.schemas import TABLE_KEY
+from tickloom.schemas import TABLE_DDL, TABLE_KEY
+from tickloom.workspace import remove
 
 DATE = "api_call_date"
+FIRST = "first_poll"
 BATCH = "batch_id"
 
 
 def with_date(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(DATE, F.to_date("api_call_timestamp_utc"))
+    return rows.withColumn(DATE, utc_date("api_call_timestamp_utc"))
 
 
 def batch_layer(ticks: DataFrame, keys=("trade_id",), numbers: str = "double") -> DataFrame:
@@ -42,31 +47,135 @@ def write_rows(rows: DataFrame, path: str) -> None:
     )
 
 
+def _whole_date(bound: date | datetime) -> date:
+    """A date, or the UTC midnight it starts at."""
+    if not isinstance(bound, datetime):
+        return bound
+    if bound.utcoffset():
+        raise ValueError(f"{bound} is not in UTC")
+    if (bound.hour, bound.minute, bound.second, bound.microsecond) != (0, 0, 0, 0):
+        raise ValueError("start and end must be midnights")
+    return bound.date()
+
+
+def _places(path: str) -> tuple[str, str]:
+    return f"{path}/rows", f"{path}/ids"
+
+
+def _ids(ticks: DataFrame, keys) -> DataFrame:
+    """``keys`` and ``first_poll``: when each trade was first polled."""
+    return ticks.groupBy(*keys).agg(F.min("api_call_timestamp").alias(FIRST))
+
+
+def _write_ids(ids: DataFrame, path: str) -> None:
+    (
+        ids.withColumn(DATE, utc_date(FIRST))
+        .hint("rebalance", DATE)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(DATE)
+        .parquet(path)
+    )
+
+
+def build_batch_layer(ticks: DataFrame, path: str, keys=("trade_id",), numbers: str = "double") -> None:
+    """Write the batch layer under ``path``: its rows, and each id's first poll.
+
+    The second table is what lets a refresh tell which dates gain or lose a
+    trade. Reads ``ticks`` twice, the second time its keys and times only.
+    """
+    rows, ids = _places(path)
+    write_rows(batch_layer(ticks, keys, numbers), rows)
+    _write_ids(_ids(ticks, list(keys)), ids)
+
+
+def read_batch_layer(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table written by :func:`build_batch_layer`, with their date."""
+    return spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(_places(path)[0])
+
+
+def _of_dates(ticks: DataFrame, dates: list[date]) -> DataFrame:
+    """Ticks polled on some UTC dates; prunes a table partitioned by date."""
+    if not dates:
+        return ticks.where("false")
+    polled = F.col("api_call_timestamp")
+    day = timedelta(days=1)
+    spans = [(polled >= instant(d)) & (polled < instant(d + day)) for d in dates]
+    found = ticks.where(reduce(lambda a, b: a | b, spans))
+    return found.where(F.col(DATE).isin(dates)) if DATE in ticks.columns else found
+
+
+def _same(keys, left: DataFrame, right: DataFrame) -> Column:
+    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"_{k}"]) for k in keys))
+
+
+def _renamed(df: DataFrame, keys) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in df.columns])
+
+
 def refresh_batch_layer(
     ticks: DataFrame,
     path: str,
-    start: datetime,
-    end: datetime,
-    overlap: str = "1 day",
+    start: date | datetime,
+    end: date | datetime,
     keys=("trade_id",),
     numbers: str = "double",
-) -> None:
-    """Recompute the dates of ``[start, end)`` from the raw ticks.
+) -> list[date]:
+    """Bring the dates of ``[start, end)`` up to date; returns the dates rewritten.
+
+    ``ticks`` are all ticks there are; those polled on the dates given may have
+    changed since the table was written. The trades concerned are those polled
+    on these dates and those counted there before. Their first polls are looked
+    up in all ticks, of which only keys and times are read. A trade that moves
+    to another date, in or out, has both dates rewritten; dates left without a
+    row lose their old ones. The result equals a full recompute.
 
-    Both bounds must be midnights, since whole dates are replaced. Ticks up to
-    ``overlap`` before ``start`` are read as well, so that a trade first
-    delivered earlier is not counted again. A date that no longer has any row
-    keeps its old rows, as dynamic overwrite only replaces dates it writes.
+    Ticks with the column ``api_call_date`` are pruned by it.
     """
-    for bound in (start, end):
-        if (bound.hour, bound.minute, bound.second, bound.microsecond) != (0, 0, 0, 0):
-            raise ValueError("start and end must be midnights")
-    polled = F.col("api_call_timestamp")
-    first = F.lit(start).cast("timestamp")
-    last = F.lit(end).cast("timestamp")
-    window = ticks.where((polled >= first - F.expr(f"interval {overlap}")) & (polled < last))
-    fresh = first_polls(window, keys).where(polled >= first)
-    write_rows(to_table_rows(tick_metrics(fresh, numbers)), path)
+    spark, keys = ticks.sparkSession, list(keys)
+    first_date, end_date = _whole_date(start), _whole_date(end)
+    asked = [first_date + timedelta(days=n) for n in range((end_date - first_date).days)]
+    rows_path, ids_path = _places(path)
+    stage = f"{path}/refresh-{uuid.uuid4().hex}"
+
+    types = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys)
+    known = spark.read.schema(f"{types}, {FIRST} timestamp, {DATE} date").parquet(ids_path)
+    counted = known.where(F.col(DATE).isin(asked) if asked else F.lit(False)).select(*keys)
+    concerned = _renamed(_of_dates(ticks, asked).select(*keys).unionByName(counted).distinct(), keys)
+    polls = ticks.select(*keys, "api_call_timestamp")
+    now = _ids(polls.join(concerned, _same(keys, polls, concerned), "left_semi"), keys)
+    before = known.join(concerned, _same(keys, known, concerned), "left_semi").select(*keys, F.col(FIRST).alias("was"))
+    old = _renamed(before, keys)
+    moves = now.join(old, _same(keys, now, old), "full_outer").select(
+        *[F.coalesce(now[k], old[f"_{k}"]).alias(k) for k in keys], FIRST, "was"
+    )
+    moves.write.parquet(f"{stage}/moves")
+    moves = spark.read.parquet(f"{stage}/moves")
+    changed = moves.where(~F.col(FIRST).eqNullSafe(F.col("was")))
+    dates = changed.select(F.explode(F.array(utc_date(FIRST), utc_date("was"))).alias("date")).distinct()
+    touched = sorted({*asked, *(r["date"] for r in dates.collect() if r["date"])})  # one value a day
+
+    gone = _renamed(moves.select(*keys), keys)
+    stay = known.where(F.col(DATE).isin(touched)) if touched else known.where("false")
+    ids = stay.join(gone, _same(keys, stay, gone), "left_anti").select(*keys, FIRST)
+    ids = ids.unionByName(moves.where(f"{FIRST} IS NOT NULL").select(*keys, FIRST))
+    ids = ids.where(utc_date(FIRST).isin(touched)) if touched else ids.where("false")
+    ids.write.parquet(f"{stage}/ids")
+    ids = spark.read.parquet(f"{stage}/ids")
+
+    window = _of_dates(ticks, touched).drop(DATE)
+    firsts = _renamed(ids, keys)
+    own = window.join(
+        firsts, _same(keys, window, firsts) & (window["api_call_timestamp"] == firsts[FIRST]), "left_semi"
+    )
+    write_rows(batch_layer(own, keys, numbers), rows_path)
+    _write_ids(ids, ids_path)
+    held = {r[0] for r in ids.select(utc_date(FIRST)).distinct().collect()}
+    for day in set(touched) - held:
+        remove(spark, f"{rows_path}/{DATE}={day}")
+        remove(spark, f"{ids_path}/{DATE}={day}")
+    remove(spark, stage)
+    return touched
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -88,35 +197,32 @@ def latest_rows(revisions: DataFrame, keys=TABLE_KEY) -> DataFrame:
     return revisions.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*columns)
 
 
-def lookback(
-    rows: DataFrame, start: datetime, end: datetime, products=()
-) -> DataFrame:
-    """Table rows of ``[start, end)``, optionally of some products only.
+def lookback(rows: DataFrame, start: date | datetime, end: date | datetime, products=()) -> DataFrame:
+    """Table rows of ``[start, end)``, UTC times, optionally of some products only.
 
     The date bounds prune partitions, the time bounds reach the row groups.
     """
     polled = F.col("api_call_timestamp_utc")
-    first = F.lit(start).cast("timestamp")
-    last = F.lit(end).cast("timestamp")
-    found = rows.where((polled >= first) & (polled < last))
+    found = rows.where((polled >= instant(start)) & (polled < instant(end)))
     if DATE in rows.columns:
-        found = found.where(F.col(DATE).between(F.to_date(first), F.to_date(last)))
+        found = found.where(F.col(DATE).between(utc_date(instant(start)), utc_date(instant(end))))
     if products:
         found = found.where(F.col("product_id").isin(*products))
     return found
 
 
-def serving_view(batch: DataFrame, speed: DataFrame) -> DataFrame:
-    """Batch rows, and speed rows for the keys the batch layer lacks.
+def serving_view(batch: DataFrame, speed: DataFrame, horizon: date | datetime) -> DataFrame:
+    """Batch rows before the horizon, speed rows from it on.
 
-    ``layer`` says where a row comes from. Both sides hold one row per key, so
-    the anti-join has no hot key; null products match each other.
+    Up to ``horizon``, a UTC time, the batch layer is complete: what the speed
+    layer has there and the batch layer lacks was rightly corrected away.
+    ``layer`` says where a row comes from. No join; each table is read once,
+    and a table with the date column is pruned by it.
     """
-    covered = batch.select(*[F.col(c).alias(f"_{c}") for c in TABLE_KEY])
-    same_key = F.lit(True)
-    for c in TABLE_KEY:
-        same_key = same_key & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    newer = speed.join(covered, same_key, "left_anti")
-    return batch.withColumn("layer", F.lit("batch")).unionByName(
-        newer.withColumn("layer", F.lit("speed"))
-    )
+    polled, split = F.col("api_call_timestamp_utc"), instant(horizon)
+    accurate, newer = batch.where(polled < split), speed.where(polled >= split)
+    if DATE in batch.columns:
+        accurate = accurate.where(F.col(DATE) <= utc_date(split))
+    if DATE in speed.columns:
+        newer = newer.where(F.col(DATE) >= utc_date(split))
+    return accurate.withColumn("layer", F.lit("batch")).unionByName(newer.withColumn("layer", F.lit("speed")))

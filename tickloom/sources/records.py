@@ -68,12 +68,15 @@ def read_records(
     path: str | None = None,
     topic: str | None = None,
 ) -> DataFrame:
-    """The same records as a bounded table, for the batch layer."""
+    """The same records as a bounded table, for the batch layer.
+
+    Always strict: a broken or missing file fails the read.
+    """
     if params.source == "kafka":
-        options = kafka_options(params, topic or params.raw_topic)
+        options = kafka_options(params, topic or params.raw_topic, strict=True)
         options.pop("startingOffsets")
         return spark.read.format("kafka").options(**options).load()
-    options = file_options(params)
+    options = file_options(params, strict=True)
     options.pop("maxFilesPerTrigger", None)
     options.pop("maxBytesPerTrigger", None)
     return spark.read.schema(RECORD_DDL).format(params.file_format).options(**options).load(path)

@@ -23,11 +23,11 @@ def tick_stream(
 ) -> DataFrame:
     """Ticks of the raw topic, of the chosen products, duplicates included."""
     records = stream_records(spark, params, path)
-    return parse_ticks(records, fields, lanes=params.lanes, products=params.products)
+    return parse_ticks(records, fields, products=params.products)
 
 
 def _unique(ticks: DataFrame, params: JobParams) -> DataFrame:
-    return unique_ticks(ticks, params.dedup_keys, params.delay, params.dedup, params.lanes)
+    return unique_ticks(ticks, params.dedup_keys, params.delay, params.dedup, params.null_ids)
 
 
 def speed_metrics(ticks: DataFrame, params: JobParams) -> DataFrame:
@@ -36,10 +36,10 @@ def speed_metrics(ticks: DataFrame, params: JobParams) -> DataFrame:
 
 
 def _start(writer, params: JobParams, checkpoint: str, name: str | None) -> StreamingQuery:
-    """Start with the job's trigger; without one, process what is there and end."""
+    """Start with the job's trigger: live, unless it is to process what is there."""
     if params.trigger_interval:
         writer = writer.trigger(processingTime=params.trigger_interval)
-    else:
+    elif params.available_now:
         writer = writer.trigger(availableNow=True)
     if name:
         writer = writer.queryName(name)
@@ -59,8 +59,9 @@ def start_speed_layer(
 
     The last two are optional: messages go out when a folder or a broker topic
     is named, the store is written when its table is. One query feeds all of
-    them, so parsing, dedup and aggregation happen once. Append mode publishes a group once it is final; update mode
-    publishes every revision and the keyed table shows the newest.
+    them, so parsing, dedup and aggregation happen once. Append mode publishes
+    a group once it is final; update mode publishes every revision and the
+    keyed table shows the newest.
     """
     session = stream_session(spark, params)
     require_utc(session)

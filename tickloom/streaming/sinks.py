@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.rendering import to_messages
+from tickloom.functions.times import utc_date
 from tickloom.params import JobParams
 from tickloom.plans.layers import BATCH, DATE, latest_rows, with_date, write_rows
-from tickloom.plans.tables import narrow_rows, to_table_rows
+from tickloom.plans.tables import assert_valid, narrow_rows, to_table_rows
 from tickloom.schemas import MEASURE_COLUMNS, TABLE_DDL, TRADE_FIELDS
 
 
@@ -25,7 +26,9 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int, tasks: int | None) -
     folder = f"{path}/{BATCH}={batch_id}"
     if tasks:
         rows = rows.repartition(tasks, *rows.columns)
-    rows.write.mode("overwrite").partitionBy(DATE).parquet(folder)
+    # Static: a retry replaces the whole folder, also the dates it no longer has.
+    overwrite = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    overwrite.partitionBy(DATE).parquet(folder)
     return folder
 
 
@@ -88,7 +91,7 @@ def land_writer(path: str, params: JobParams):
     """Batch callback that lands ticks, partitioned by the date of their poll."""
 
     def write(ticks: DataFrame, batch_id: int) -> None:
-        dated = ticks.withColumn(DATE, F.to_date("api_call_timestamp"))
+        dated = ticks.withColumn(DATE, utc_date("api_call_timestamp"))
         _write_batch(dated, path, batch_id, params.write_tasks)
 
     return write
@@ -140,8 +143,13 @@ def compact_table(
 def write_store(rows: DataFrame, params: JobParams) -> None:
     """Append to the wide-column store; its primary key makes that an upsert.
 
-    Needs the store's Spark connector on the classpath.
+    Needs the store's Spark connector on the classpath. With a catalog the
+    table is addressed through it.
     """
+    if params.store_catalog:
+        name = f"{params.store_catalog}.{params.store_keyspace}.{params.store_table}"
+        narrow_rows(rows).writeTo(name).append()
+        return
     (
         narrow_rows(rows)
         .write.format("org.apache.spark.sql.cassandra")
@@ -152,5 +160,9 @@ def write_store(rows: DataFrame, params: JobParams) -> None:
 
 
 def write_relational(rows: DataFrame, url: str, table: str, properties=None) -> None:
-    """Append to a relational table. Needs the database's JDBC driver."""
+    """Append to a relational table. Needs the database's JDBC driver.
+
+    Rows that break a rule of the table stop the write before it begins.
+    """
+    assert_valid(rows)
     narrow_rows(rows).write.jdbc(url, table, mode="append", properties=properties or {})

@@ -18,7 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         return tempfile.mkdtemp(prefix="tickloom-")
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -26,3 +27,16 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path nobody has used yet; whoever writes to it creates it."""
     return f"{shared_root(spark)}/tickloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table, where the cluster keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Create a folder, where the cluster keeps it, unless it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    return path
