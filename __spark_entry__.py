@@ -48,6 +48,7 @@ from tickloom.sources import unwrap_envelope
 from tickloom.sources.events import LAG, event_records, read_events, write_waves
 from tickloom.streaming import (
     compact_table,
+    fold_table,
     land_ticks,
     read_landed_ticks,
     read_revisions,
@@ -70,6 +71,7 @@ else:
 
 ZONE = "America/New_York"
 SPAN = "1 hour"
+SHORT_DELAY = "3 days 7 minutes"
 SPLIT = datetime(2024, 1, 16)
 REFRESH = (datetime(2024, 1, 8), datetime(2024, 1, 12))
 STRAY = datetime(2031, 1, 1)
@@ -251,7 +253,8 @@ def serving(spark, sf_dir):
 def _replay(spark, sf_dir, start, **changes) -> str:
     """Run a job over the waves, stopping and resuming it after each one."""
     root = new_folder(spark, "replay")
-    params = JobParams(available_now=True, delay=LAG, message_topic="metrics", **changes)
+    settings = {"available_now": True, "delay": LAG, "message_topic": "metrics", **changes}
+    params = JobParams(**settings)
     for _ in write_waves(spark, sf_dir, f"{root}/raw"):
         run_to_end(start(spark, params, f"{root}/checkpoint", root))
     return root
@@ -293,6 +296,25 @@ def speed_layer_revisions(spark, sf_dir):
     )
 
 
+# With a delay below the lag of repeats, stragglers are dropped as late, ids come
+# back after they were forgotten, and a tail is not published yet.
+
+
+def speed_layer_late_append(spark, sf_dir):
+    root = _replay(spark, sf_dir, _to_table, delay=SHORT_DELAY)
+    return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
+
+
+def speed_layer_readmission(spark, sf_dir):
+    root = _replay(spark, sf_dir, _to_table, delay=SHORT_DELAY, output_mode="update")
+    return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
+
+
+def speed_layer_late_forever(spark, sf_dir):
+    root = _replay(spark, sf_dir, _to_table, delay=SHORT_DELAY, output_mode="update", dedup="forever")
+    return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
+
+
 def speed_layer_compacted(spark, sf_dir):
     root = _replay(spark, sf_dir, _to_table, output_mode="update")
     compact_table(spark, f"{root}/table", f"{root}/compacted", upto=3)
@@ -300,6 +322,14 @@ def speed_layer_compacted(spark, sf_dir):
     return _zoneless(current.drop(DATE))
 
 
+def speed_layer_folded(spark, sf_dir):
+    """Folded twice, the second time by the dates of the newer batches only."""
+    root = _replay(spark, sf_dir, _to_table, output_mode="update")
+    fold_table(spark, f"{root}/table", 3)
+    fold_table(spark, f"{root}/table", 5, drop=True)
+    return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
+
+
 def messages_roundtrip(spark, sf_dir):
     """Table and messages from one query, the messages read by a second one."""
 
@@ -376,7 +406,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_layer_forever": speed_layer_forever,
         "speed_layer_upsert": speed_layer_upsert,
         "speed_layer_revisions": speed_layer_revisions,
+        "speed_layer_late_append": speed_layer_late_append,
+        "speed_layer_readmission": speed_layer_readmission,
+        "speed_layer_late_forever": speed_layer_late_forever,
         "speed_layer_compacted": speed_layer_compacted,
+        "speed_layer_folded": speed_layer_folded,
         "messages_roundtrip": messages_roundtrip,
         "landed_ticks": landed_ticks,
         **CORPUS_QUERIES,
@@ -434,6 +468,30 @@ metrics AS (
     return f"WITH {trades},{_DELIVERED},{metrics}{more}\n"
 
 
+# Each wave is one batch, followed by one without data. A row is late if it is
+# no newer than the mark after the wave before; an id is forgotten once that mark
+# has passed its first poll by the delay.
+_SHORT = "INTERVAL 3 DAY + INTERVAL 7 MINUTE"
+_LATE = f""",
+deliveries AS (
+  SELECT *, CAST(poll AS DATE) - DATE '1970-01-01' AS day FROM ticks),
+waves AS (
+  SELECT *, day // 10 + CASE WHEN event_id % 6 = 1 THEN 1 ELSE 0 END AS wave FROM deliveries),
+marks AS (
+  SELECT wave, max(max(poll)) OVER (ORDER BY wave) - ({_SHORT}) AS mark FROM waves GROUP BY wave),
+timely AS (
+  SELECT * FROM (
+    SELECT w.*, (SELECT max(mark) FROM marks m WHERE m.wave < w.wave) AS before_it FROM waves w)
+  WHERE before_it IS NULL OR poll > before_it),
+placed AS (
+  SELECT *, first_value(poll) OVER (PARTITION BY trade_id ORDER BY wave, poll) AS first_poll,
+         row_number() OVER (PARTITION BY trade_id, poll) AS copy
+  FROM timely),
+admitted AS (SELECT * FROM placed WHERE copy = 1 AND (poll = first_poll OR {{again}})),
+streamed AS (
+  SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM admitted GROUP BY ALL)"""
+
+
 def _rows() -> str:
     return f"""api_call_timestamp AS api_call_timestamp_utc,
        date_trunc('hour', api_call_timestamp) AS api_call_timestamp_hour,
@@ -443,6 +501,7 @@ def _rows() -> str:
 def oracle_sql() -> dict[str, str]:
     base = _with()
     exact = _with(poll="ts")
+    late = _with(more=_LATE.format(again=f"first_poll + {_SHORT} <= before_it"))
     ticks = f"SELECT poll AS api_call_timestamp, {_FIELDS} FROM"
     published = "api_call_timestamp <= (SELECT max(poll) FROM ticks) - INTERVAL 10 DAY"
     rules = ["api_call_timestamp_utc", "product_id", *_COLUMNS.split(", ")]
@@ -541,7 +600,11 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
             SELECT poll AS api_call_timestamp_utc, product_id,
                    count(DISTINCT event_id % 6 = 1) AS revisions
             FROM uniq GROUP BY 1, 2""",
+        "speed_layer_late_append": f"{late} SELECT {_rows()} FROM streamed WHERE api_call_timestamp <= (SELECT max(mark) FROM marks)",
+        "speed_layer_readmission": f"{late} SELECT {_rows()} FROM streamed",
+        "speed_layer_late_forever": f"{_with(more=_LATE.format(again='false'))} SELECT {_rows()} FROM streamed",
         "speed_layer_compacted": f"{base} SELECT {_rows()} FROM metrics",
+        "speed_layer_folded": f"{base} SELECT {_rows()} FROM metrics",
         "messages_roundtrip": f"{base} SELECT * FROM metrics WHERE {published}",
         "landed_ticks": f"{base} {ticks} uniq",
         **CORPUS_SQL,

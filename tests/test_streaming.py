@@ -16,6 +16,7 @@ from tickloom.streaming import (
     await_any,
     compact_table,
     dropped_late,
+    fold_table,
     land_ticks,
     read_landed_ticks,
     read_revisions,
@@ -221,6 +222,34 @@ def test_keyed_table_shows_the_newest_revision_and_compacts(spark, topic, tmp_pa
     assert revisions.count() == 2
 
 
+def test_folding_rewrites_only_the_dates_of_new_batches(spark, tmp_path):
+    ddl = (
+        "api_call_timestamp timestamp, product_id string, num_trades bigint, num_sell_trades bigint, "
+        "num_buy_trades bigint, share_volume double, avg_share_price double"
+    )
+    row = lambda day, n: (shift(at("00:05:00"), days=day), "P", n, 0, n, 4.0, 1.0)
+    table = str(tmp_path / "t")
+    write = speed_writer(table, PARAMS)
+    shown = lambda: sorted(map(tuple, read_table(spark, table).collect()))
+    files = lambda: {str(p) for p in (tmp_path / "t" / "_folded").glob("*/*.parquet")}
+    batches = [[row(0, 1), row(1, 1)], [row(1, 2)], [row(1, 3), row(2, 1)], [row(4, 1)]]
+    for number, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, ddl), number)
+    before = shown()
+    assert [r[3] for r in before] == [1, 3, 1, 1]
+    assert [d.day for d in fold_table(spark, table, 1)] == [1, 2]
+    first = files()
+    assert shown() == before
+    assert [d.day for d in fold_table(spark, table, 2, drop=True)] == [2, 3]
+    assert {f for f in first if "2024-01-01" in f} < files() and not {f for f in first if "2024-01-02" in f} & files()
+    assert shown() == before
+    assert [p.name for p in (tmp_path / "t").glob("batch_id=*")] == ["batch_id=3"]
+    assert [d.day for d in fold_table(spark, table, 9, drop=True)] == [5]
+    assert shown() == before
+    write(spark.createDataFrame([row(0, 7)], ddl), 10)
+    assert [r[3] for r in shown()] == [7, 3, 1, 1]
+
+
 def test_keyed_table_prunes_dates_below_the_grouping(spark, topic, tmp_path):
     play(topic, SCRIPT[:3])
     table = str(tmp_path / "t")

@@ -10,6 +10,7 @@ from tickloom.streaming.jobs import (
 from tickloom.streaming.progress import dropped_late, state_rows
 from tickloom.streaming.sinks import (
     compact_table,
+    fold_table,
     read_landed_ticks,
     read_revisions,
     read_table,
@@ -21,6 +22,7 @@ __all__ = [
     "await_any",
     "compact_table",
     "dropped_late",
+    "fold_table",
     "land_ticks",
     "read_landed_ticks",
     "read_revisions",

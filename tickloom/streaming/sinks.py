@@ -7,6 +7,8 @@ to the checkpoint that numbers its batches.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.rendering import to_messages
@@ -15,6 +17,12 @@ from tickloom.params import JobParams
 from tickloom.plans.layers import BATCH, DATE, latest_rows, with_date, write_rows
 from tickloom.plans.tables import assert_valid, narrow_rows, to_table_rows
 from tickloom.schemas import MEASURE_COLUMNS, TABLE_DDL, TRADE_FIELDS
+from tickloom.workspace import children, make_folder, remove
+
+# Below a table, in names that readers of its batches pass over: the copy of
+# folded batches, and an empty folder for each fold, named by its last batch.
+FOLDED = "_folded"
+MARKS = "_folds"
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int, tasks: int | None) -> str:
@@ -103,20 +111,62 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, base: str | None = None, upto: int = -1
+    spark: SparkSession, path: str, base: str | None = None, upto: int | None = None
 ) -> DataFrame:
     """The keyed table as an upserting store would show it.
 
-    ``base`` is a compacted copy of the batches up to ``upto``; only the
-    folders after it are then read from ``path``.
+    Batches that :func:`fold_table` has folded are read from its copy. ``base``
+    names another copy instead, of the batches up to ``upto``.
     """
+    if base is None:
+        upto = folded_upto(spark, path)
+        base = f"{path}/{FOLDED}" if upto >= 0 else None
+    if not any(name.startswith(f"{BATCH}=") for name in children(spark, path)) and base:
+        return _folded(spark, base)
     revisions = read_revisions(spark, path).where(F.col(BATCH) > upto)
     if base:
-        folded = spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
-        revisions = revisions.unionByName(folded.withColumn(BATCH, F.lit(upto).cast("bigint")))
+        revisions = revisions.unionByName(_folded(spark, base).withColumn(BATCH, F.lit(upto).cast("bigint")))
     return latest_rows(revisions)
 
 
+def _folded(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
+
+
+def folded_upto(spark: SparkSession, path: str) -> int:
+    """The last batch that is in the folded copy, -1 without one."""
+    return max(map(int, children(spark, f"{path}/{MARKS}")), default=-1)
+
+
+def fold_table(spark: SparkSession, path: str, upto: int, drop: bool = False) -> list:
+    """Fold the batches up to ``upto`` into the table's copy; returns the dates touched.
+
+    Only dates that the new batches have are rewritten. A mark is set when the
+    copy is complete; until then readers use the batches, which give the same
+    rows, so a fold that fails is simply run again. ``drop`` then removes the
+    folders of folded batches, for when no reader of theirs is left.
+    """
+    since = folded_upto(spark, path)
+    base, stage = f"{path}/{FOLDED}", f"{path}/_stage-{uuid.uuid4().hex}"
+    added = read_revisions(spark, path).where(F.col(BATCH).between(since + 1, upto))
+    dates = sorted(r[0] for r in added.select(DATE).distinct().collect())  # one value a day
+    if dates:
+        if since >= 0:
+            held = _folded(spark, base).where(F.col(DATE).isin(dates))
+            added = added.unionByName(held.withColumn(BATCH, F.lit(since).cast("bigint")))
+        latest_rows(added).drop(DATE).write.parquet(stage)
+        write_rows(spark.read.schema(TABLE_DDL).parquet(stage), base)
+        remove(spark, stage)
+    elif since < 0:
+        return []
+    make_folder(spark, f"{path}/{MARKS}/{max(since, upto)}")
+    if drop:
+        for name in children(spark, path):
+            if name.startswith(f"{BATCH}=") and int(name.partition("=")[2]) <= upto:
+                remove(spark, f"{path}/{name}")
+    return dates
+
+
 def read_landed_ticks(spark: SparkSession, path: str, fields=TRADE_FIELDS) -> DataFrame:
     """Ticks landed by the speed layer for the batch layer."""
     columns = ", ".join(f"{f} string" for f in fields)
