@@ -14,6 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions import (
+    instant,
     local_time,
     parse_messages,
     parse_ticks,
@@ -222,8 +223,9 @@ def batch_refresh(spark, sf_dir):
     """
     path = new_folder(spark, "batch")
     ticks = _ticks(spark, sf_dir)
-    missing = F.col("api_call_timestamp").between(*map(F.lit, REFRESH)) & (F.col("trade_id") % 3 == 0)
-    strays = ticks.where(F.col("trade_id") % 5 == 1).withColumn("api_call_timestamp", F.lit(STRAY).cast("timestamp"))
+    polled, (start, end) = F.col("api_call_timestamp"), map(instant, REFRESH)
+    missing = (polled >= start) & (polled < end) & (F.col("trade_id") % 3 == 0)
+    strays = ticks.where(F.col("trade_id") % 5 == 1).withColumn("api_call_timestamp", instant(STRAY))
     build_batch_layer(ticks.where(~missing).unionByName(strays), path)
     refresh_batch_layer(ticks, path, *REFRESH)
     refresh_batch_layer(ticks, path, STRAY, STRAY + timedelta(days=1))
