@@ -92,7 +92,7 @@ def test_mix_keeps_columns_and_drops_only_zero_rates(spark, documents):
     rows += [(None, "w1 w2"), (None, "w1 w2"), (500, None), (501, ""), (502, "w3 " * 40000), (7, rows[7][1])]
     docs = documents(rows).withColumns({c: F.lit("c") for c in ("row", "bucket", "doc", "hash", "known", "rated_id", "domain")})
     table = spark.createDataFrame(labels + labels[:5] + [(None, 1, 1, ""), (3, None, None, "")], LABELS)
-    settings = Settings(targets=(1.0, 0.0, 0.0))
+    settings = Settings(targets=(1.0, 0.0, 0.0), steps=15)
     out = mix(docs, table, settings)
     assert out.columns == docs.columns + ["rate"]
     expected = rates(docs, table, settings).where("rate > 0").count()
