@@ -149,7 +149,8 @@ def similar_blocks(blocks: DataFrame, settings: Settings, templates=TEMPLATES) -
     entries = ordered.select("row", "known", F.size("known").alias("length"), F.posexplode("known").alias("at", "word"))
     index = _templates(blocks.sparkSession, order, settings, templates)
     room = F.least(F.col("size") - F.col("place"), F.col("length") - F.col("at"))
-    pairs = entries.join(index, "word").where(
+    # One row for each prefix word of a template, whatever the data.
+    pairs = entries.join(F.broadcast(index), "word").where(
         (F.col("length") >= F.col("need")) & (F.col("at") <= F.col("length") - F.col("need")) & (room >= F.col("need"))
     )
     common = F.size(F.array_intersect("known", "template"))
