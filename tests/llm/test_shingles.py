@@ -1,0 +1,61 @@
+"""The pipeline's near-dedup stage against the Jaccard similarity of all pairs."""
+
+import random
+
+import corpus_pipeline
+from tests.llm.test_simhash import classes
+from tickloom.llm.simhash import fingerprint
+
+
+def slow_shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def texts():
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bdfgklm" for b in "aeiou"]
+    out = [None, "", " \n", "one", "One two", "one two three"]
+    for n in (5, 8, 12, 15, 18, 25, 40, 80, 160, 400):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            out.append(" ".join(base))
+            for _ in range(6):
+                new = list(base)
+                for _ in range(rng.randrange(1, 3 + n // 30)):
+                    at = rng.choice((0, len(new) - 1, rng.randrange(len(new))))
+                    new[at : at + 1] = rng.choice(([], ["x"], [new[at], "y"]))
+                out.append(" ".join(new).title() if rng.random() < 0.2 else " ".join(new))
+    return out
+
+
+def test_stage_keeps_the_first_of_each_jaccard_class(spark, documents):
+    given = texts()
+    sets = {i: slow_shingles(t) for i, t in enumerate(given)}
+    bits = {i: fingerprint(None if t is None else t.encode()) & ((1 << 64) - 1) for i, t in enumerate(given)}
+    close = [(a, b) for a in sets for b in range(a) if sets[a] != sets[b] and alike(sets[a], sets[b])]
+    assert len(close) > 300 and sum((bits[a] ^ bits[b]).bit_count() > 2 for a, b in close) > 250
+    found = classes(list(sets), lambda a, b: alike(sets[a], sets[b]))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(given), None).collect()}
+    assert kept == set(found.values())
+
+
+def test_recall_of_the_candidate_search_is_one(spark):
+    from tickloom.llm.shingles import keys, shingles
+
+    sets = [(slow_shingles(t), set(keys(shingles(t.encode())).tolist())) for t in texts() if t and t.strip()]
+    pairs = [(x, y) for i, x in enumerate(sets) for y in sets[:i] if alike(x[0], y[0])]
+    assert len(pairs) > 300
+    assert sum(bool(x[1] & y[1]) for x, y in pairs) / len(pairs) == 1.0
+
+
+def test_stage_with_odd_rows(spark, documents):
+    docs = documents([(None, "a b c"), (7, "a b c"), (7, "a b c"), (9, None), (8, ""), (None, "x y z w")])
+    out = corpus_pipeline.near_dedup(spark, docs, None)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("7", "a b c"), ("8", ""), ("None", "x y z w")]
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), None).count() == 0

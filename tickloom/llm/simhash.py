@@ -129,6 +129,25 @@ def _fingerprint_column(text: str, size: int) -> Column:
     return run(F.col(text).cast("binary"))
 
 
+def keep_first(marked: DataFrame, key: str, known: DataFrame, folder: str) -> DataFrame:
+    """Of ``marked`` (``doc``, ``row`` and a key) the first document of each component.
+
+    ``known`` has the component of every key.
+    """
+    rows = marked.select("row", key, F.col("doc.doc_id").cast("bigint").alias("doc_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    ranked = rows.join(known, key).select("component", rank.alias("rank"))
+    kept = written(ranked.groupBy("component").agg(F.min("rank").alias("best")), f"{folder}/kept")
+    dropped = written(
+        rows.join(kept.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_anti")
+        .select(F.col("row").alias("gone")),
+        f"{folder}/dropped",
+    )
+    touched, untouched = split_by(marked.select("doc", "row"), "row", dropped, "gone")
+    stay = touched.join(dropped, F.col("row") == F.col("gone"), "left_anti")
+    return untouched.unionByName(stay).select("doc.*")
+
+
 def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """One row of ``docs`` from each component: the one with the smallest id.
 
@@ -142,16 +161,5 @@ def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
         _fingerprint_column("text", size).alias("fp"),
     )
     marked = written(marked, f"{folder}/documents")
-    rows = marked.select("row", "fp", F.col("doc.doc_id").cast("bigint").alias("doc_id"))
-    known = written(classes(rows.select("fp").distinct()), f"{folder}/classes")
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    ranked = rows.join(known, "fp").select("component", rank.alias("rank"))
-    kept = written(ranked.groupBy("component").agg(F.min("rank").alias("best")), f"{folder}/kept")
-    dropped = written(
-        rows.join(kept.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_anti")
-        .select(F.col("row").alias("gone")),
-        f"{folder}/dropped",
-    )
-    touched, untouched = split_by(marked.select("doc", "row"), "row", dropped, "gone")
-    stay = touched.join(dropped, F.col("row") == F.col("gone"), "left_anti")
-    return untouched.unionByName(stay).select("doc.*")
+    known = written(classes(marked.select("fp").distinct()), f"{folder}/classes")
+    return keep_first(marked, "fp", known, folder)
