@@ -17,6 +17,9 @@ the block without one character. Lines that agree in all but the same character
 are one edit apart from each other, so each is paired with the smallest of them;
 a line that equals another without one character is paired with that one.
 
+Shorter lines are judged too, but only for exact repeats: they are grouped like
+the others and have no segments. Blank lines are not judged.
+
 SQL expressions only. The first occurrence of a line is by document id, nulls
 last, then by hash of the text, then by line number. Rows with equal id and text
 are judged alike and do not remove each other's lines.
@@ -32,12 +35,14 @@ from tickloom.llm.common import let, maybe_in, new_folder, split_by, written
 from tickloom.llm.components import connected_components
 
 EDITS = 1
+# Fixed value: what a line or text that is not blank has.
+WRITTEN = r"[^\x20\x09-\x0D]"
 _OWN, _LONGER = 0, 1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Lines of fewer than ``shortest`` code points are never judged."""
+    """Lines of fewer than ``shortest`` code points must repeat without an edit."""
 
     shortest: int = 20
     pairs: int = 32
@@ -129,15 +134,21 @@ def _keys(line: Column, n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, settings: Settings) -> DataFrame:
-    """One row per document: its number of lines, and the judged ones' hashes."""
+    """One row per document: its number of lines, and the hashes of those not blank."""
     text = F.col("text").cast("string")
+    none = F.array().cast("array<bigint>")
 
     def judged(line: Column, at: Column) -> Column:
         return let(
             F.length(line),
             lambda n: F.when(
-                n >= settings.shortest,
-                F.struct(at.alias("at"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), _keys(line, n).alias("keys")),
+                line.rlike(WRITTEN),
+                F.struct(
+                    at.alias("at"),
+                    F.xxhash64(line).alias("a"),
+                    F.xxhash64(F.lit(1), line).alias("b"),
+                    F.when(n >= settings.shortest, _keys(line, n)).otherwise(none).alias("keys"),
+                ),
             ),
         )
 
@@ -350,7 +361,7 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.col("removed").isNull(), F.col("doc.text")
     ).otherwise(F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed", i), x))), "\n"))
     cut = cut.select("doc", F.col("removed").isNotNull().alias("shortened"), left.alias("left"))
-    cut = cut.where("NOT shortened OR left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cut = cut.where(~F.col("shortened") | F.col("left").rlike(WRITTEN))
     columns = [
         F.col("left").alias(c) if c == "text"
         else F.when(F.col("shortened"), F.length("left").cast("bigint")).otherwise(F.col("doc.n_chars")).alias(c) if c == "n_chars"
