@@ -2,8 +2,8 @@
 
 The patterns find credentials with a kind. Those are the labelled examples: for
 each kind a probabilistic automaton is inferred from a bounded sample of them.
-Every other run of characters that could be a credential is then scored by each
-automaton, and is a finding if its likelihood is one that examples of the kind,
+Every other run of a credential's characters, from the patterns' shortest length
+on, is then scored by each automaton, and is a finding if its likelihood is one that examples of the kind,
 held out from the inference, have themselves.
 """
 
@@ -29,9 +29,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SHORTEST_ASSIGNED = 8
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -65,16 +64,24 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken) -> list[tuple[str, int, int, str]]:
-    """Long runs with a letter and a digit that touch no span of ``taken``."""
-    if not _DIGIT.search(text):
-        return []
-    return [
-        ("", m.start(), m.end(), m[0])
-        for m in RUN.finditer(text)
-        if _DIGIT.search(m[0])
-        and _LETTER.search(m[0])
-        and not any(start < m.end() and m.start() < stop for _, start, stop, _ in taken)
-    ]
+    """Runs of a credential's characters and length that touch no span of ``taken``.
+
+    A run with dots comes first as a whole, then without those at its ends, then
+    in its parts.
+    """
+    found = []
+    for m in RUN.finditer(text):
+        run, at = m[0], m.start()
+        options = [(at, run)]
+        if "." in run:
+            left = run.lstrip(".")
+            options.append((m.end() - len(left), left.rstrip(".")))
+            options += [(at + p.start(), p[0]) for p in PART.finditer(run)]
+        for start, value in dict.fromkeys(options):
+            stop = start + len(value)
+            if len(value) >= SHORTEST_ASSIGNED and not any(a < stop and start < b for _, a, b, _ in taken):
+                found.append(("", start, stop, value))
+    return found
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -131,15 +138,29 @@ def find_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     models = spark.sparkContext.broadcast(infer(spans, settings))
 
     @pandas_udf("array<string>")
-    def liked(values: pd.Series) -> pd.Series:
-        def best(value):
-            ratings = [(m.likelihood(value) - least, kind) for kind, (m, least) in models.value.items()]
-            margin, kind = max(ratings, default=(-1.0, ""))
-            return f"like_{kind}" if margin >= 0 else None
-
-        return pd.Series([[best(v) for v in row] for row in values])
+    def liked(starts: pd.Series, stops: pd.Series, values: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}
 
-    judged = spans.withColumn("liked", liked(F.col("candidates.value")))
+        def best(value):
+            if value not in known:
+                ratings = [(m.likelihood(value) - least, kind) for kind, (m, least) in models.value.items()]
+                margin, kind = max(ratings, default=(-1.0, ""))
+                known[value] = f"like_{kind}" if margin >= 0 else None
+            return known[value]
+
+        def row(starts, stops, values):
+            """Of options for one run the first one liked counts."""
+            out, reached = [], -1
+            for start, stop, value in zip(starts, stops, values):
+                kind = best(value) if start >= reached else None
+                reached = stop if kind else reached
+                out.append(kind)
+            return out
+
+        return pd.Series(list(map(row, starts, stops, values)), dtype=object)
+
+    each = F.col("candidates")
+    judged = spans.withColumn("liked", liked(each["start"], each["stop"], each["value"]))
     added = F.filter(
         F.zip_with("candidates", "liked", lambda c, kind: c.withField("kind", kind)), lambda c: c["kind"].isNotNull()
     )
