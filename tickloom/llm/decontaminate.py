@@ -25,13 +25,12 @@ FOUND = "doc_id bigint, item_id bigint, distance int, start int, stop int"
 @dataclass(frozen=True)
 class Settings:
     """``piece`` code points per piece at least: an item of ``n`` has a budget
-    of ``n // piece - 1`` edits, at most ``budget``. Items shorter than
+    of ``n // piece - 1`` edits, however long it is. Items shorter than
     ``shortest`` are matched exactly, as whole words. Items travel to the tasks
     in blocks of at most ``block_chars`` code points and ``block_items`` items.
     """
 
     piece: int = 20
-    budget: int = 16
     shortest: int = 40
     block_chars: int = 4_000_000
     block_items: int = 20_000
@@ -44,7 +43,7 @@ def normal(text: str | None) -> str:
 def budget_of(item: str, settings: Settings) -> int:
     if len(item) < settings.shortest:
         return 0
-    return max(0, min(settings.budget, len(item) // settings.piece - 1))
+    return max(0, len(item) // settings.piece - 1)
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
