@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import importance, license_scan, lines, mixing, url_filters
+from tickloom.llm import importance, license_scan, lines, mixing, packing, spelling, target_sampling, url_filters
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -84,6 +84,23 @@ def op10_decontamination(spark, sf_dir):
     return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    """Every piece and its place, with the checksum of its ids."""
+    settings = packing.Settings(packing.vocabulary_path("byte_bpe_50k.json"))
+    made = packing.pieces(_table(spark, sf_dir, "documents"), settings)
+    digest = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digest, settings.capacity, F.xxhash64("doc_id", "piece", "ids_crc32"))
+
+
+def op12_target_resampling(spark, sf_dir):
+    found = target_sampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -95,6 +112,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 def _rule_sql(value: str) -> str:
