@@ -86,7 +86,8 @@ def op10_decontamination(spark, sf_dir):
 
 def op11_best_fit_packing(spark, sf_dir):
     """Every piece and its place, with the checksum of its ids."""
-    settings = packing.Settings(packing.vocabulary_path("byte_bpe_50k.json"))
+    files = map(packing.vocabulary_path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    settings = packing.Settings(*files)
     made = packing.pieces(_table(spark, sf_dir, "documents"), settings)
     digest = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.placed(digest, settings.capacity, F.xxhash64("doc_id", "piece", "ids_crc32"))
