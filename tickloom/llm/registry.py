@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import importance, license_scan, lines, mixing, packing, spelling, target_sampling, url_filters
+from tickloom.llm.checksum_sql import TABLE_SQL, crc32_sql
 from tickloom.llm.decontaminate import matches
 from tickloom.llm.quality_rules import judge
 from tickloom.llm.secrets import KINDS, find_secrets
@@ -217,4 +218,81 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
        coalesce(score, 0.0) AS score
 FROM base LEFT JOIN best USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL, "op4_license_scan": LICENSE_SQL}
+
+def _features_sql(words: str) -> str:
+    return f"{words} || list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])"
+
+
+def _lowered_words_sql(text: str) -> str:
+    return _WORDS_SQL.format(f"translate(coalesce({text}, ''), '{url_filters.UPPER}', '{url_filters.LOWER}')")
+
+
+TARGET_SQL = f"""
+WITH steps AS ({TABLE_SQL}),
+texts AS (SELECT row_number() OVER () AS row, doc_id, {_lowered_words_sql('text')} AS w FROM documents),
+raw AS (SELECT row, unnest({_features_sql('w')}) AS f FROM texts),
+goal AS (SELECT unnest({_features_sql('w')}) AS f FROM (SELECT {_lowered_words_sql('text')} AS w FROM benchmark)),
+places AS (
+  SELECT f, {crc32_sql('f')} % 10000 AS b FROM (SELECT f FROM raw UNION SELECT f FROM goal), steps),
+counts AS (
+  SELECT b, sum(s) AS s, sum(t) AS t FROM (
+    SELECT f, count(*) AS s, 0 AS t FROM raw GROUP BY f UNION ALL SELECT f, 0, count(*) FROM goal GROUP BY f)
+  JOIN places USING (f) GROUP BY b),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (
+  SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS g
+  FROM counts, sums),
+weights AS (
+  SELECT row, count(*) AS n, floor(sum(g) / count(*)) AS weight
+  FROM raw JOIN places USING (f) JOIN gains USING (b) GROUP BY row),
+draws AS (
+  SELECT row, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), i, 1)) - 1),
+                     lambda a, d: 16 * a + d) AS h
+  FROM texts LEFT JOIN weights USING (row)),
+scores AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score FROM draws),
+ranks AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, 25 * count(*) OVER () // 100 AS k
+  FROM scores WHERE words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+       CASE WHEN place <= k THEN place END::BIGINT AS rank
+FROM scores LEFT JOIN ranks USING (row)"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE steps AS ({TABLE_SQL}),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents) GROUP BY ALL),
+drawn AS (SELECT run, n, {crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs, steps),
+words AS (
+  SELECT word, sum(n) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM drawn)
+  GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (
+  SELECT word, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+longer AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cut c JOIN words w ON c.head || c.tail = w.word),
+near AS (
+  SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.head || '*' || x.tail = y.head || '*' || y.tail AND x.word != y.word
+  UNION SELECT a, b FROM longer UNION SELECT b, a FROM longer),
+best AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS n FROM near JOIN words ON b = word GROUP BY a),
+forms AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * w.n THEN b END AS form,
+         CASE WHEN best.n >= 2 * w.n THEN best.n END AS form_n
+  FROM words w LEFT JOIN best ON word = a),
+ways AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON ways.root = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT ways.word, ways.root FROM ways JOIN forms ON ways.root = forms.word WHERE forms.form IS NULL)
+SELECT word, n::BIGINT AS n, n_near::BIGINT AS n_near, form, form_n::BIGINT AS form_n, root
+FROM forms JOIN ends USING (word)"""
+
+ORACLES: dict[str, str] = {
+    "op3_url_filter": URL_SQL,
+    "op4_license_scan": LICENSE_SQL,
+    "op12_target_resampling": TARGET_SQL,
+    "op13_spelling_variants": SPELLING_SQL,
+}
