@@ -15,7 +15,9 @@ Three settings keep the sample close to the target text:
   of a document decide;
 * the weight of a document is its smaller weight under the two models, each
   measured from the level that ``recall`` of held-out target documents reach,
-  and ``k`` is the number of documents at or above that level.
+  and ``k`` is the number of documents at or above that level. The lowest of
+  few held-out documents are not yet the lowest of many: of ``n`` of them, the
+  level goes down by ``z / sqrt(n)`` of its distance to the labelled others.
 """
 
 from __future__ import annotations
@@ -23,19 +25,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tickloom.llm.common import new_folder, written
+from tickloom.llm.common import new_folder, split_by, written
 from tickloom.llm.topk import kth_largest
 
 ORDERS = 2
 _BLOCK = 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEY_SCALE = 1e6
+_SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,13 @@ def _counted(bits: int):
         size = 1 << bits
         counts = np.zeros((2, ORDERS, size), np.int64)
         for batch in batches:
-            for text, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for order, found in enumerate(buckets(text, bits)):
-                    np.add.at(counts[0, order], found, 1)
-                    if role == 1:
-                        np.add.at(counts[1, order], found, 1)
+            for at in range(0, batch.num_rows, _SLICE):
+                some = batch.slice(at, _SLICE)
+                for text, role in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    for order, found in enumerate(buckets(text, bits)):
+                        np.add.at(counts[0, order], found, 1)
+                        if role == 1:
+                            np.add.at(counts[1, order], found, 1)
         rows = []
         for model in range(2):
             flat = counts[model].reshape(-1, min(_BLOCK, size))
@@ -175,72 +178,109 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     ratios = np.stack([log_ratios(totals[1, o], totals[0, o], settings) for o in range(ORDERS)])
     weights = Weights(spark.sparkContext.broadcast(ratios), settings)
 
-    held = marked.where("role = 2").select(order_weights("text", weights).alias("w"))
-    cuts = held.where("w.n_words > 0").agg(
-        *[F.percentile(f"w.w{o + 1}", 1 - settings.recall).alias(f"c{o}") for o in range(ORDERS)]
+    labelled = measured(marked.where("role != 1"), weights, "role").where("n_words > 0")
+    labelled = written(labelled, new_folder(spark, "importance"))
+    level = labelled.where("role = 2").agg(
+        F.count("*").alias("n"), *[F.percentile(f"w{o + 1}", 1 - settings.recall).alias(f"c{o}") for o in range(ORDERS)]
     ).first()
-    return Weights(weights.ratios, settings, tuple(c if c is not None else 0.0 for c in cuts))
+    if not level["n"]:
+        return weights
+    low = [level[f"c{o}"] for o in range(ORDERS)]
+    beyond = F.least(*[F.col(f"w{o + 1}") - F.lit(c) for o, c in enumerate(low)])
+    others = labelled.where("role = 0").agg(F.percentile(beyond, 0.95)).first()[0]
+    margin = max(0.0, -(others or 0.0)) * min(0.5, settings.z / level["n"] ** 0.5)
+    return Weights(weights.ratios, settings, tuple(c - margin for c in low))
 
 
-def order_weights(text: str, weights: Weights) -> Column:
-    """Struct of ``n_words`` and the log weight under each order's model."""
+def measured(docs: DataFrame, weights: Weights, *columns: str) -> DataFrame:
+    """``columns``, ``n_words`` and the log weights ``w1``, ``w2`` under each order's model.
+
+    Only these columns and the text go to Python, and a slice of each batch at
+    a time becomes Python objects.
+    """
     ratios, bits, reference = weights.ratios, weights.settings.bits, weights.settings.reference
 
-    @pandas_udf("n_words bigint, w1 double, w2 double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         table = ratios.value
-        rows = []
-        for t in texts:
-            found = buckets(t, bits)
-            scale = (reference / max(1, len(found[0]))) ** 0.5
-            sums = [float(table[o][b].sum(dtype=np.float64)) * scale for o, b in enumerate(found)]
-            rows.append((len(found[0]), *sums))
-        return pd.DataFrame(rows, columns=["n_words", "w1", "w2"])
-
-    return run(F.col(text).cast("binary"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                some = batch.slice(at, _SLICE)
+                rows = []
+                for text in some.column(0).to_pylist():
+                    found = buckets(text, bits)
+                    scale = (reference / max(1, len(found[0]))) ** 0.5
+                    sums = [float(table[o][b].sum(dtype=np.float64)) * scale for o, b in enumerate(found)]
+                    rows.append((len(found[0]), *sums))
+                n, one, two = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[1:], pa.array(n, pa.int64()), pa.array(one, pa.float64()), pa.array(two, pa.float64())],
+                    names=[*columns, "n_words", "w1", "w2"],
+                )
+
+    chosen = docs.select(F.col("text").cast("binary").alias("text"), *columns)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
+    return chosen.mapInArrow(run, ", ".join([*kept, "n_words bigint", "w1 double", "w2 double"]))
 
 
 def weighed(docs: DataFrame, weights: Weights) -> DataFrame:
-    """``docs`` with the struct ``importance`` (n_words, log_weight, sample_key).
+    """``doc_id``, ``n_words``, ``log_weight``, ``sample_key`` and two hashes of every row.
 
     ``sample_key`` is the log weight plus a Gumbel draw that the seed, the id
     and the text determine, in millionths. Documents without a word have
-    neither weight nor key and are never sampled.
+    neither weight nor key and are never sampled. The hashes, of id and text,
+    are those of :func:`identity`.
     """
-    cuts = [F.lit(c) for c in weights.cuts]
-    w = F.col("importance")
-    weight = F.when(w["n_words"] > 0, F.least(w["w1"] - cuts[0], w["w2"] - cuts[1]))
     mixed = F.xxhash64(F.lit(weights.settings.seed), F.col("doc_id"), F.col("text"))
-    uniform = (F.shiftrightunsigned(mixed, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    told = docs.select("doc_id", "text", mixed.alias("draw"), *identity())
+    cuts = [F.lit(c) for c in weights.cuts]
+    weight = F.when(F.col("n_words") > 0, F.least(F.col("w1") - cuts[0], F.col("w2") - cuts[1]))
+    uniform = (F.shiftrightunsigned("draw", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     gumbel = -F.log(-F.log(uniform))
     key = F.round((weight + gumbel) * _KEY_SCALE).cast("bigint")
-    measured = docs.withColumn("importance", order_weights("text", weights))
-    return measured.withColumn(
-        "importance", F.struct(w["n_words"].alias("n_words"), weight.alias("log_weight"), key.alias("sample_key"))
+    return measured(told, weights, "doc_id", "draw", *_IDENTITY).select(
+        "doc_id", "n_words", weight.alias("log_weight"), key.alias("sample_key"), *_IDENTITY
     )
 
 
+_IDENTITY = ("hash_1", "hash_2")
+
+
+def identity() -> list[Column]:
+    """128 bits that tell rows apart by id and text: on what a row's draw depends."""
+    return [F.xxhash64(F.lit(name), F.col("doc_id"), F.col("text")).alias(name) for name in _IDENTITY]
+
+
 def sample(docs: DataFrame, weights: Weights) -> DataFrame:
-    """The sampled documents: ``doc_id`` and the fields of ``importance``.
+    """The sampled documents: ``doc_id``, ``n_words``, ``log_weight`` and ``sample_key``.
 
     As many as reach the level of target text; rows that tie with the last one
     are all kept.
     """
     scores, last = _scored(docs, weights)
-    return scores.where(F.col("sample_key") >= last)
+    return scores.where(F.col("sample_key") >= last).drop(*_IDENTITY)
 
 
 def resample(docs: DataFrame, weights: Weights) -> DataFrame:
     """The sampled rows of ``docs``, with their columns as they are.
 
-    Weighs every document a second time instead of moving whole texts.
+    Rows are weighed once. Whole rows stay in the JVM, where those that are not
+    sampled are told by the hashes of their id and text; only rows that may be
+    among them are moved.
     """
-    _, last = _scored(docs, weights)
-    return weighed(docs, weights).where(F.col("importance.sample_key") >= last).select(*docs.columns)
+    scores, last = _scored(docs, weights)
+    gone = scores.where(~F.coalesce(F.col("sample_key") >= last, F.lit(False)))
+    gone = gone.select(*[F.col(name).alias(f"gone_{i}") for i, name in enumerate(_IDENTITY)]).distinct()
+    gone = written(gone, new_folder(docs.sparkSession, "importance"))
+    own = F.struct(*docs.columns).alias("doc")
+    told = docs.select(own, *identity())
+    touched, untouched = split_by(told, _IDENTITY[0], gone, "gone_0")
+    same = [F.col(name) == F.col(f"gone_{i}") for i, name in enumerate(_IDENTITY)]
+    stay = touched.join(gone, same, "left_anti")
+    return untouched.unionByName(stay).select("doc.*")
 
 
 def _scored(docs: DataFrame, weights: Weights):
-    scores = weighed(docs.select("doc_id", "text"), weights).select("doc_id", "importance.*")
-    scores = written(scores, new_folder(docs.sparkSession, "importance"))
+    """Scores of all rows, written once, and the key of the last one sampled."""
+    scores = written(weighed(docs, weights), new_folder(docs.sparkSession, "importance"))
     k = scores.where("log_weight >= 0").count()
     return scores, F.lit(kth_largest(scores, "sample_key", k))
