@@ -13,11 +13,9 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import new_folder, split_by, written
 from tickloom.llm.components import connected_components
@@ -121,45 +119,31 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _fingerprint_column(text: str, size: int) -> Column:
-    @pandas_udf("bigint")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
-
-    return run(F.col(text).cast("binary"))
-
-
-def keep_first(marked: DataFrame, key: str, known: DataFrame, folder: str) -> DataFrame:
-    """Of ``marked`` (``doc``, ``row`` and a key) the first document of each component.
+def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of ``docs`` from each component: the one with the smallest id.
 
-    ``known`` has the component of every key.
+    Null ids come last; of rows that tie, also of repeated ones, the first one
+    stays. Null and empty texts are one component, as in :func:`near_duplicates`;
+    an empty table gives no row and all columns stay as they are. Only row
+    numbers and texts go to Python. Rows that stay anyway are not moved: only
+    those in the hash buckets of rows to drop are.
     """
-    rows = marked.select("row", key, F.col("doc.doc_id").cast("bigint").alias("doc_id"))
+    folder = new_folder(docs.sparkSession, "simhash")
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    marked = written(numbered, f"{folder}/documents")
+    texts = marked.select(F.col("row").alias("doc_id"), "doc.text")
+    prints = written(fingerprints(texts, size), f"{folder}/fingerprints").select(F.col("doc_id").alias("row_"), "fp")
+    known = written(classes(prints.select("fp").distinct()), f"{folder}/classes")
+    ids = marked.select("row", F.col("doc.doc_id").cast("bigint").alias("doc_id"))
+    rows = ids.join(prints, F.col("row") == F.col("row_")).join(known, "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    ranked = rows.join(known, key).select("component", rank.alias("rank"))
-    kept = written(ranked.groupBy("component").agg(F.min("rank").alias("best")), f"{folder}/kept")
+    rows = written(rows.select("component", "row", rank.alias("rank")), f"{folder}/ranked")
+    kept = written(rows.groupBy("component").agg(F.min("rank").alias("best")), f"{folder}/kept")
     dropped = written(
         rows.join(kept.select(F.col("best.row").alias("kept_row")), F.col("row") == F.col("kept_row"), "left_anti")
         .select(F.col("row").alias("gone")),
         f"{folder}/dropped",
     )
-    touched, untouched = split_by(marked.select("doc", "row"), "row", dropped, "gone")
+    touched, untouched = split_by(marked, "row", dropped, "gone")
     stay = touched.join(dropped, F.col("row") == F.col("gone"), "left_anti")
     return untouched.unionByName(stay).select("doc.*")
-
-
-def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
-    """One row of ``docs`` from each component: the one with the smallest id.
-
-    Null ids come last; of rows that tie, the first one stays. Rows that stay
-    anyway are not moved: only those in the hash buckets of rows to drop are.
-    """
-    folder = new_folder(docs.sparkSession, "simhash")
-    marked = docs.select(
-        F.struct(*docs.columns).alias("doc"),
-        F.monotonically_increasing_id().alias("row"),
-        _fingerprint_column("text", size).alias("fp"),
-    )
-    marked = written(marked, f"{folder}/documents")
-    known = written(classes(marked.select("fp").distinct()), f"{folder}/classes")
-    return keep_first(marked, "fp", known, folder)
