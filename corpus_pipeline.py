@@ -4,7 +4,7 @@ Each stage takes the documents that its predecessor kept and is written before
 the next one reads them.
 """
 
-from tickloom.llm import decontaminate, importance, lines, mixing, shingles
+from tickloom.llm import decontaminate, importance, lines, mixing, simhash
 from tickloom.llm.common import new_folder, written
 
 
@@ -19,8 +19,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keep one document of each group of near copies: 5-word shingles, Jaccard 0.8 or more."""
-    return shingles.first_of_each(docs)
+    """Keep one document of each group of near copies: SimHash of 3-word shingles, 2 bits at most."""
+    return simhash.first_of_each(docs)
 
 
 def decontamination(spark, docs, sf_dir):
@@ -36,7 +36,7 @@ def mixture(spark, docs, sf_dir):
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
-    ("shingle near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing to target weights", mixture),
 ]
