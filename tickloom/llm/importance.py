@@ -174,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     totals = np.zeros((2, ORDERS * size // block, block), np.int64)
     for row in counts.toLocalIterator():
         totals[row["model"], row["part"]] = np.frombuffer(row["n"], np.int64)
-    totals = totals.reshape(2, ORDERS, size).astype(float)
-    ratios = np.stack([log_ratios(totals[1, o], totals[0, o], settings) for o in range(ORDERS)])
+    totals = totals.reshape(2, ORDERS, size)
+    ratios = np.stack([log_ratios(*(totals[m, o].astype(float) for m in (1, 0)), settings) for o in range(ORDERS)])
+    del totals
     weights = Weights(spark.sparkContext.broadcast(ratios), settings)
 
     labelled = measured(marked.where("role != 1"), weights, "role").where("n_words > 0")

@@ -85,12 +85,16 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def linked_pairs(fps: DataFrame) -> DataFrame:
-    """Pairs of distinct fingerprints that differ in one or two bits."""
+    """Pairs of distinct fingerprints that differ in one or two bits.
+
+    Each fingerprint becomes 66 rows, which the planner's size estimate of the
+    join's sides leaves out; the hint keeps it from broadcasting one of them.
+    """
     rows = variants(fps)
     a = rows.where("bit IS NULL OR NOT bit").select("key", F.col("bit").alias("bit_a"), F.col("fp").alias("a"))
     b = rows.where("bit IS NULL OR bit").select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return a.join(b, "key").where(near & (F.col("bit_a").isNotNull() | (F.col("a") < F.col("b")))).select("a", "b")
+    return a.join(b.hint("merge"), "key").where(near & (F.col("bit_a").isNotNull() | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def classes(fps: DataFrame) -> DataFrame:
