@@ -6,17 +6,17 @@ import uuid
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.times import instant, utc_date
 from tickloom.operators.dedup import first_polls
 from tickloom.operators.metrics import tick_metrics
+from tickloom.plans.polls import FIRST, POLL, TRADE, WAS, add_changes, looked_up, trade_name, write_base
 from tickloom.plans.tables import to_table_rows
 from tickloom.schemas import TABLE_DDL, TABLE_KEY
 from tickloom.workspace import remove
 
 DATE = "api_call_date"
-FIRST = "first_poll"
 BATCH = "batch_id"
 
 
@@ -59,34 +59,21 @@ def _whole_date(bound: date | datetime) -> date:
 
 
 def _places(path: str) -> tuple[str, str]:
-    return f"{path}/rows", f"{path}/ids"
+    return f"{path}/rows", f"{path}/first-polls"
 
 
-def _ids(ticks: DataFrame, keys) -> DataFrame:
-    """``keys`` and ``first_poll``: when each trade was first polled."""
-    return ticks.groupBy(*keys).agg(F.min("api_call_timestamp").alias(FIRST))
+def build_batch_layer(
+    ticks: DataFrame, path: str, keys=("trade_id",), numbers: str = "double", buckets: int | None = None
+) -> None:
+    """Write the batch layer under ``path``: its rows, and the index of first polls.
 
-
-def _write_ids(ids: DataFrame, path: str) -> None:
-    (
-        ids.withColumn(DATE, utc_date(FIRST))
-        .hint("rebalance", DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DATE)
-        .parquet(path)
-    )
-
-
-def build_batch_layer(ticks: DataFrame, path: str, keys=("trade_id",), numbers: str = "double") -> None:
-    """Write the batch layer under ``path``: its rows, and each id's first poll.
-
-    The second table is what lets a refresh tell which dates gain or lose a
-    trade. Reads ``ticks`` twice, the second time its keys and times only.
+    The index is what lets a refresh tell which dates gain or lose a trade. Reads
+    ``ticks`` twice, the second time its keys and times only.
     """
-    rows, ids = _places(path)
+    rows, index = _places(path)
     write_rows(batch_layer(ticks, keys, numbers), rows)
-    _write_ids(_ids(ticks, list(keys)), ids)
+    firsts = ticks.groupBy(trade_name(list(keys)).alias(TRADE)).agg(F.min("api_call_timestamp").alias(FIRST))
+    write_base(firsts, index, 0, buckets)
 
 
 def read_batch_layer(spark: SparkSession, path: str) -> DataFrame:
@@ -105,12 +92,19 @@ def _of_dates(ticks: DataFrame, dates: list[date]) -> DataFrame:
     return found.where(F.col(DATE).isin(dates)) if DATE in ticks.columns else found
 
 
-def _same(keys, left: DataFrame, right: DataFrame) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"_{k}"]) for k in keys))
+_CHANGED = f"NOT ({FIRST} <=> {WAS})"
 
 
-def _renamed(df: DataFrame, keys) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in df.columns])
+def _told(moves: DataFrame):
+    """How many trades are lost or changed, and on which dates: one value a day."""
+    changed = F.expr(_CHANGED)
+    days = F.flatten(F.collect_set(F.when(changed, F.array_compact(F.array(utc_date(FIRST), utc_date(WAS))))))
+    return moves.agg(
+        F.count_if(F.col(FIRST).isNull()).alias("lost"),
+        F.count_if(changed).alias("changed"),
+        days.alias("changed_dates"),
+        F.collect_set(utc_date(FIRST)).alias("dates"),
+    ).first()
 
 
 def refresh_batch_layer(
@@ -123,57 +117,66 @@ def refresh_batch_layer(
 ) -> list[date]:
     """Bring the dates of ``[start, end)`` up to date; returns the dates rewritten.
 
-    ``ticks`` are all ticks there are; those polled on the dates given may have
-    changed since the table was written. The trades concerned are those polled
-    on these dates and those counted there before. Their first polls are looked
-    up in all ticks, of which only keys and times are read. A trade that moves
-    to another date, in or out, has both dates rewritten; dates left without a
-    row lose their old ones. The result equals a full recompute.
+    ``ticks`` are all ticks there are; only those polled on the dates given may
+    have changed since the table was written. The trades concerned are those
+    polled on these dates and those counted there before. The index says when
+    they were polled first. Only for a trade that is gone from its first date are
+    ticks of later dates read, and only if there is such a trade. A trade that
+    moves to another date, in or out, has both dates rewritten; dates left
+    without a row lose their old ones. The result equals a full recompute.
 
-    Ticks with the column ``api_call_date`` are pruned by it.
+    The index changes last, so a refresh that fails is simply run again. Ticks
+    with the column ``api_call_date`` are pruned by it.
     """
     spark, keys = ticks.sparkSession, list(keys)
     first_date, end_date = _whole_date(start), _whole_date(end)
     asked = [first_date + timedelta(days=n) for n in range((end_date - first_date).days)]
-    rows_path, ids_path = _places(path)
+    if not asked:
+        return []
+    rows_path, index = _places(path)
     stage = f"{path}/refresh-{uuid.uuid4().hex}"
-
-    types = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys)
-    known = spark.read.schema(f"{types}, {FIRST} timestamp, {DATE} date").parquet(ids_path)
-    counted = known.where(F.col(DATE).isin(asked) if asked else F.lit(False)).select(*keys)
-    concerned = _renamed(_of_dates(ticks, asked).select(*keys).unionByName(counted).distinct(), keys)
-    polls = ticks.select(*keys, "api_call_timestamp")
-    now = _ids(polls.join(concerned, _same(keys, polls, concerned), "left_semi"), keys)
-    before = known.join(concerned, _same(keys, known, concerned), "left_semi").select(*keys, F.col(FIRST).alias("was"))
-    old = _renamed(before, keys)
-    moves = now.join(old, _same(keys, now, old), "full_outer").select(
-        *[F.coalesce(now[k], old[f"_{k}"]).alias(k) for k in keys], FIRST, "was"
-    )
-    moves.write.parquet(f"{stage}/moves")
-    moves = spark.read.parquet(f"{stage}/moves")
-    changed = moves.where(~F.col(FIRST).eqNullSafe(F.col("was")))
-    dates = changed.select(F.explode(F.array(utc_date(FIRST), utc_date("was"))).alias("date")).distinct()
-    touched = sorted({*asked, *(r["date"] for r in dates.collect() if r["date"])})  # one value a day
-
-    gone = _renamed(moves.select(*keys), keys)
-    stay = known.where(F.col(DATE).isin(touched)) if touched else known.where("false")
-    ids = stay.join(gone, _same(keys, stay, gone), "left_anti").select(*keys, FIRST)
-    ids = ids.unionByName(moves.where(f"{FIRST} IS NOT NULL").select(*keys, FIRST))
-    ids = ids.where(utc_date(FIRST).isin(touched)) if touched else ids.where("false")
-    ids.write.parquet(f"{stage}/ids")
-    ids = spark.read.parquet(f"{stage}/ids")
-
-    window = _of_dates(ticks, touched).drop(DATE)
-    firsts = _renamed(ids, keys)
-    own = window.join(
-        firsts, _same(keys, window, firsts) & (window["api_call_timestamp"] == firsts[FIRST]), "left_semi"
-    )
-    write_rows(batch_layer(own, keys, numbers), rows_path)
-    _write_ids(ids, ids_path)
-    held = {r[0] for r in ids.select(utc_date(FIRST)).distinct().collect()}
+    polled_at = F.col("api_call_timestamp")
+    named = ticks.withColumn(TRADE, trade_name(keys))
+
+    def polls_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(TRADE).agg(F.min(polled_at).alias(POLL))
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
+
+    inside = (F.col(WAS) >= instant(first_date)) & (F.col(WAS) < instant(end_date))
+    concerned = looked_up(spark, index, polls_of(_of_dates(named, asked)))
+    # What was first on these dates has no other poll before their end.
+    now = F.when(F.col(WAS).isNull() | inside, F.col(POLL)).otherwise(F.least(WAS, POLL))
+    concerned = concerned.where(F.col(POLL).isNotNull() | inside)
+    moves = kept(concerned.select(TRADE, WAS, now.alias(FIRST)), "seen")
+    told = _told(moves)
+    if told["lost"]:
+        lost = moves.where(f"{FIRST} IS NULL")
+        later = named.where(polled_at >= instant(end_date))
+        later = later.where(F.col(DATE) >= F.lit(end_date)) if DATE in ticks.columns else later
+        again = polls_of(later.join(lost.select(TRADE), TRADE, "left_semi")).withColumnRenamed(POLL, FIRST)
+        found = lost.select(TRADE, WAS).join(again, TRADE, "left").select(TRADE, WAS, FIRST)
+        moves = kept(moves.where(f"{FIRST} IS NOT NULL").unionByName(found), "moves")
+        told = _told(moves)
+    touched = sorted({*asked, *told["changed_dates"]})
+
+    firsts, held = moves.select(TRADE, FIRST).where(f"{FIRST} IS NOT NULL"), set(told["dates"])
+    further = [d for d in touched if d not in set(asked)]
+    if further:
+        others = polls_of(_of_dates(named, further)).join(moves, TRADE, "left_anti")
+        known = looked_up(spark, index, others).where(F.col(POLL).isNotNull())
+        firsts = kept(firsts.unionByName(known.select(TRADE, F.col(WAS).alias(FIRST))), "firsts")
+        held = {r[0] for r in firsts.select(utc_date(FIRST)).distinct().collect()}  # one value a day
+    window = _of_dates(named, touched).drop(DATE)
+    marks = firsts.select(F.col(TRADE).alias("own_"), FIRST)
+    own = window.join(marks, (F.col(TRADE) == F.col("own_")) & (polled_at == F.col(FIRST)), "left_semi")
+    write_rows(batch_layer(own.drop(TRADE), keys, numbers), rows_path)
     for day in set(touched) - held:
         remove(spark, f"{rows_path}/{DATE}={day}")
-        remove(spark, f"{ids_path}/{DATE}={day}")
+    if told["changed"]:
+        add_changes(moves.where(_CHANGED), index)
     remove(spark, stage)
     return touched
 
