@@ -231,7 +231,7 @@ def test_folding_rewrites_only_the_dates_of_new_batches(spark, tmp_path):
     table = str(tmp_path / "t")
     write = speed_writer(table, PARAMS)
     shown = lambda: sorted(map(tuple, read_table(spark, table).collect()))
-    files = lambda: {str(p) for p in (tmp_path / "t" / "_folded").glob("*/*.parquet")}
+    files = lambda: {str(p) for p in (tmp_path / "t" / "_folded").glob("*/*/*.parquet")}
     batches = [[row(0, 1), row(1, 1)], [row(1, 2)], [row(1, 3), row(2, 1)], [row(4, 1)]]
     for number, rows in enumerate(batches):
         write(spark.createDataFrame(rows, ddl), number)
@@ -241,15 +241,70 @@ def test_folding_rewrites_only_the_dates_of_new_batches(spark, tmp_path):
     first = files()
     assert shown() == before
     assert [d.day for d in fold_table(spark, table, 2, drop=True)] == [2, 3]
-    assert {f for f in first if "2024-01-01" in f} < files() and not {f for f in first if "2024-01-02" in f} & files()
+    assert first < files()  # the copy of the fold before stays for its readers
     assert shown() == before
-    assert [p.name for p in (tmp_path / "t").glob("batch_id=*")] == ["batch_id=3"]
+    assert sorted(p.name for p in (tmp_path / "t").glob("batch_id=*")) == ["batch_id=2", "batch_id=3"]
     assert [d.day for d in fold_table(spark, table, 9, drop=True)] == [5]
+    assert {f for f in first if "2024-01-01" in f} < files() and not {f for f in first if "2024-01-02" in f} & files()
+    assert [p.name for p in (tmp_path / "t").glob("batch_id=*")] == ["batch_id=3"]
     assert shown() == before
+    assert fold_table(spark, table, 9, drop=True) == []
     write(spark.createDataFrame([row(0, 7)], ddl), 10)
     assert [r[3] for r in shown()] == [7, 3, 1, 1]
 
 
+METRIC_DDL = (
+    "api_call_timestamp timestamp, product_id string, num_trades bigint, num_sell_trades bigint, "
+    "num_buy_trades bigint, share_volume double, avg_share_price double"
+)
+
+
+def three_batches(spark, table):
+    """Three batches that all change the first date; the rows shown after each."""
+    write, seen = speed_writer(table, PARAMS), []
+    for number in range(3):
+        rows = [(at("00:05:00"), "P", number + 1, 0, number + 1, 4.0, 1.0), (shift(at("00:05:00"), days=number + 1), "P", 1, 0, 1, 4.0, 1.0)]
+        write(spark.createDataFrame(rows, METRIC_DDL), number)
+        seen.append(sorted(map(tuple, read_table(spark, table).collect())))
+    return seen
+
+
+def test_readers_opened_before_a_fold_go_on(spark, tmp_path):
+    table = str(tmp_path / "t")
+    seen = three_batches(spark, table)
+    opened = [read_table(spark, table)]
+    for upto in range(3):
+        fold_table(spark, table, upto, drop=True)
+        rows = [sorted(map(tuple, df.collect())) for df in opened[-2:]]
+        assert rows == [seen[-1]] * len(rows)
+        opened = [opened[-1], read_table(spark, table)][-2:] if upto else [read_table(spark, table)]
+
+
+@pytest.mark.parametrize("broken", ["write_rows", "moved", "_drop_unneeded"])
+def test_a_fold_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch, broken):
+    """The second fold, when the first has dropped its batches, fails at each of its steps."""
+    from tickloom.streaming import sinks
+
+    table = str(tmp_path / "t")
+    seen = three_batches(spark, table)
+    fold_table(spark, table, 0, drop=True)
+    fold_table(spark, table, 1, drop=True)
+    real = getattr(sinks, broken)
+
+    def fails(*arguments, **names):
+        if broken == "write_rows":
+            real(*arguments, **names)  # all is written, nothing named
+        raise OSError("lost")
+
+    monkeypatch.setattr(sinks, broken, fails)
+    with pytest.raises(OSError):
+        fold_table(spark, table, 2, drop=True)
+    assert sorted(map(tuple, read_table(spark, table).collect())) == seen[-1]
+    monkeypatch.setattr(sinks, broken, real)
+    fold_table(spark, table, 2, drop=True)
+    assert sorted(map(tuple, read_table(spark, table).collect())) == seen[-1]
+
+
 def test_keyed_table_prunes_dates_below_the_grouping(spark, topic, tmp_path):
     play(topic, SCRIPT[:3])
     table = str(tmp_path / "t")

@@ -17,12 +17,14 @@ from tickloom.params import JobParams
 from tickloom.plans.layers import BATCH, DATE, latest_rows, with_date, write_rows
 from tickloom.plans.tables import assert_valid, narrow_rows, to_table_rows
 from tickloom.schemas import MEASURE_COLUMNS, TABLE_DDL, TRADE_FIELDS
-from tickloom.workspace import children, make_folder, remove
+from tickloom.workspace import children, moved, remove
 
-# Below a table, in names that readers of its batches pass over: the copy of
-# folded batches, and an empty folder for each fold, named by its last batch.
+# Below a table, in names that readers of its batches pass over: the rows of
+# folded batches, a folder for each fold with the dates it has written, and a
+# manifest for each fold, named by its last batch.
 FOLDED = "_folded"
-MARKS = "_folds"
+MANIFESTS = "_folds"
+FOLD = "fold"
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int, tasks: int | None) -> str:
@@ -118,55 +120,100 @@ def read_table(
     Batches that :func:`fold_table` has folded are read from its copy. ``base``
     names another copy instead, of the batches up to ``upto``.
     """
-    if base is None:
+    if base is not None:
+        folded = spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
+    else:
         upto = folded_upto(spark, path)
-        base = f"{path}/{FOLDED}" if upto >= 0 else None
-    if not any(name.startswith(f"{BATCH}=") for name in children(spark, path)) and base:
-        return _folded(spark, base)
+        folded = _folded(spark, path, _manifest(spark, path, upto)) if upto >= 0 else None
+    if not any(_batch(name) > upto for name in children(spark, path)) and folded is not None:
+        return folded
     revisions = read_revisions(spark, path).where(F.col(BATCH) > upto)
-    if base:
-        revisions = revisions.unionByName(_folded(spark, base).withColumn(BATCH, F.lit(upto).cast("bigint")))
+    if folded is not None:
+        revisions = revisions.unionByName(folded.withColumn(BATCH, F.lit(upto).cast("bigint")))
     return latest_rows(revisions)
 
 
-def _folded(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(f"{TABLE_DDL}, {DATE} date").parquet(base)
+def _batch(name: str) -> int:
+    """Number of the batch whose folder this is; -1 for another folder."""
+    return int(name.partition("=")[2]) if name.startswith(f"{BATCH}=") else -1
 
 
 def folded_upto(spark: SparkSession, path: str) -> int:
     """The last batch that is in the folded copy, -1 without one."""
-    return max(map(int, children(spark, f"{path}/{MARKS}")), default=-1)
+    return max(_folds(spark, path), default=-1)
+
+
+def _folds(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(name) for name in children(spark, f"{path}/{MANIFESTS}") if name.isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, upto: int) -> dict:
+    """By date: the fold that holds its rows. One row a date."""
+    rows = spark.read.schema(f"{DATE} date, {FOLD} string").parquet(f"{path}/{MANIFESTS}/{upto}")
+    return {r[DATE]: r[FOLD] for r in rows.collect()}
+
+
+def _folded(spark: SparkSession, path: str, manifest: dict, dates=None) -> DataFrame:
+    """Rows of the folded copy, of some dates or all that the manifest names."""
+    base = f"{path}/{FOLDED}"
+    named = [(d, f) for d, f in sorted(manifest.items()) if dates is None or d in dates]
+    reader = spark.read.schema(f"{TABLE_DDL}, {FOLD} string, {DATE} date").option("basePath", base)
+    if not named:
+        return spark.createDataFrame([], f"{TABLE_DDL}, {DATE} date")
+    return reader.parquet(*[f"{base}/{FOLD}={f}/{DATE}={d}" for d, f in named]).drop(FOLD)
 
 
 def fold_table(spark: SparkSession, path: str, upto: int, drop: bool = False) -> list:
     """Fold the batches up to ``upto`` into the table's copy; returns the dates touched.
 
-    Only dates that the new batches have are rewritten. A mark is set when the
-    copy is complete; until then readers use the batches, which give the same
-    rows, so a fold that fails is simply run again. ``drop`` then removes the
-    folders of folded batches, for when no reader of theirs is left.
+    Dates that the new batches have are written to a folder of this fold, beside
+    what earlier folds have written, which stays as it is. Then a manifest, which
+    names for every date the fold to read, gets its final name in one rename.
+    Until that the batches are read, which give the same rows; so a fold that
+    fails is simply run again. A reader keeps what it has opened for one more fold:
+    ``drop`` removes what the manifest before this one did not need any more.
     """
-    since = folded_upto(spark, path)
-    base, stage = f"{path}/{FOLDED}", f"{path}/_stage-{uuid.uuid4().hex}"
+    since, target = folded_upto(spark, path), f"{path}/{MANIFESTS}"
+    if not any(since < _batch(name) <= upto for name in children(spark, path)):
+        return []
+    before = _manifest(spark, path, since) if since >= 0 else {}
+    fold = f"{upto}-{uuid.uuid4().hex}"
     added = read_revisions(spark, path).where(F.col(BATCH).between(since + 1, upto))
     dates = sorted(r[0] for r in added.select(DATE).distinct().collect())  # one value a day
-    if dates:
-        if since >= 0:
-            held = _folded(spark, base).where(F.col(DATE).isin(dates))
-            added = added.unionByName(held.withColumn(BATCH, F.lit(since).cast("bigint")))
-        latest_rows(added).drop(DATE).write.parquet(stage)
-        write_rows(spark.read.schema(TABLE_DDL).parquet(stage), base)
-        remove(spark, stage)
-    elif since < 0:
+    if not dates and since < 0:
         return []
-    make_folder(spark, f"{path}/{MARKS}/{max(since, upto)}")
+    if dates:
+        held = _folded(spark, path, before, set(dates)).withColumn(BATCH, F.lit(since).cast("bigint"))
+        write_rows(latest_rows(added.unionByName(held)).drop(DATE), f"{path}/{FOLDED}/{FOLD}={fold}")
+    now = {**before, **dict.fromkeys(dates, fold)}
+    named = spark.createDataFrame(sorted(now.items()), f"{DATE} date, {FOLD} string")
+    waiting = f"{target}/_{fold}"
+    named.coalesce(1).write.parquet(waiting)
+    if not moved(spark, waiting, f"{target}/{upto}"):
+        raise RuntimeError(f"another fold up to batch {upto} has ended first")
     if drop:
-        for name in children(spark, path):
-            if name.startswith(f"{BATCH}=") and int(name.partition("=")[2]) <= upto:
-                remove(spark, f"{path}/{name}")
+        _drop_unneeded(spark, path, since, {*before.items(), *now.items()})
     return dates
 
 
+def _drop_unneeded(spark: SparkSession, path: str, upto: int, needed: set) -> None:
+    """Remove batches up to ``upto``, manifests before it and what is not ``needed`` (date, fold)."""
+    for name in children(spark, path):
+        if 0 <= _batch(name) <= upto:
+            remove(spark, f"{path}/{name}")
+    places = {(f"{FOLD}={fold}", f"{DATE}={day}") for day, fold in needed}
+    for name in children(spark, f"{path}/{FOLDED}"):
+        if name not in {fold for fold, _ in places}:
+            remove(spark, f"{path}/{FOLDED}/{name}")
+            continue
+        for day in children(spark, f"{path}/{FOLDED}/{name}"):
+            if day.startswith(f"{DATE}=") and (name, day) not in places:
+                remove(spark, f"{path}/{FOLDED}/{name}/{day}")
+    for name in children(spark, f"{path}/{MANIFESTS}"):
+        if name.startswith("_") or int(name) < upto:
+            remove(spark, f"{path}/{MANIFESTS}/{name}")
+
+
 def read_landed_ticks(spark: SparkSession, path: str, fields=TRADE_FIELDS) -> DataFrame:
     """Ticks landed by the speed layer for the batch layer."""
     columns = ", ".join(f"{f} string" for f in fields)

@@ -49,3 +49,10 @@ def children(spark: SparkSession, path: str) -> list[str]:
     if not files.exists(target):
         return []
     return sorted(status.getPath().getName() for status in files.listStatus(target))
+
+
+def moved(spark: SparkSession, path: str, target: str) -> bool:
+    """Give a folder its final name, at once or not at all; False if that name is taken."""
+    source, final = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not files.exists(final) and files.rename(source, final)
