@@ -1,0 +1,121 @@
+"""Folds, corrections and the horizon of a job that goes on."""
+
+import time
+from datetime import date, datetime
+
+import pytest
+
+from tests.conftest import at, shift, trade
+from tests.test_layers import as_set
+from tests.test_streaming import PARAMS, SCRIPT, play
+from tickloom import job, upkeep
+from tickloom.plans import batch_layer, read_batch_layer
+from tickloom.streaming import read_landed_ticks, read_revisions, read_table
+from tickloom.streaming.sinks import folded_upto
+
+JOB = PARAMS.but(message_topic="metrics", output_mode="append")
+
+
+def accurate(spark, folder):
+    return as_set(batch_layer(read_landed_ticks(spark, f"{folder}/ticks")))
+
+
+def test_stretches_of_days():
+    days = [date(2024, 2, 28), date(2024, 2, 29), date(2024, 3, 1), date(2024, 3, 4)]
+    assert upkeep.stretches(days) == [(days[0], date(2024, 3, 2)), (days[3], date(2024, 3, 5))]
+    assert upkeep.stretches([]) == []
+
+
+def test_available_now_echoes_every_message(spark, topic, tmp_path):
+    play(topic, SCRIPT)
+    folder, echo = str(tmp_path / "job"), str(tmp_path / "echo")
+    job.run_through(spark, JOB, folder, topic.path, echo)
+    sent = spark.read.parquet(f"{folder}/messages/*").count()
+    assert sent > 3 and spark.read.parquet(echo).count() == sent
+    job.run_through(spark, JOB, folder, topic.path, echo)
+    assert spark.read.parquet(echo).count() == sent
+
+
+def test_the_horizon_moves_and_the_view_is_corrected(spark, topic, tmp_path):
+    folder = str(tmp_path / "job")
+    assert upkeep.horizon(spark, folder) is None
+    play(topic, SCRIPT[:3])
+    job.run_through(spark, JOB, folder, topic.path, str(tmp_path / "echo"))
+    assert upkeep.horizon(spark, folder) == datetime(2024, 1, 1, 0, 4)
+    assert as_set(read_batch_layer(spark, f"{folder}/batch")) == accurate(spark, folder)
+    # 'a' comes again after the stream has forgotten it, and then a day passes.
+    play(topic, SCRIPT[3:])
+    topic.add([(shift(at("00:00:00"), days=1), [trade("next")])])
+    topic.add([(shift(at("00:10:00"), days=1), [trade("last")])])
+    job.run_through(spark, JOB, folder, topic.path, str(tmp_path / "echo"))
+    assert upkeep.horizon(spark, folder) == datetime(2024, 1, 2, 0, 9)
+    shown = upkeep.view(spark, folder)
+    assert as_set(shown.where("layer = 'batch'").drop("layer")) == [
+        r for r in accurate(spark, folder) if "00:10:00" not in str(r) or "2024-01-02" not in str(r)
+    ]
+    counted = lambda df: df.agg({"num_trades": "sum"}).first()[0]
+    assert counted(read_table(spark, f"{folder}/table")) > counted(shown)
+
+
+def test_a_pass_without_new_batches_changes_nothing(spark, topic, tmp_path):
+    folder = str(tmp_path / "job")
+    play(topic, SCRIPT[:3])
+    job.run_through(spark, JOB, folder, topic.path, str(tmp_path / "echo"))
+    assert folded_upto(spark, f"{folder}/table") == upkeep.complete_batches(spark, f"{folder}/table")[-1]
+    files = lambda: {(str(p), p.stat().st_mtime) for p in (tmp_path / "job" / "batch").rglob("*.parquet")}
+    before = files()
+    assert upkeep.upkeep(spark, JOB, folder) == [] and files() == before
+
+
+def test_only_dates_of_new_batches_are_refreshed(spark, topic, tmp_path, monkeypatch):
+    folder, asked = str(tmp_path / "job"), []
+    real = upkeep.refresh_batch_layer
+    monkeypatch.setattr(upkeep, "refresh_batch_layer", lambda ticks, path, a, b, *rest: asked.append((a.day, b.day)) or real(ticks, path, a, b, *rest))
+    for day in range(3):
+        topic.add([(shift(at("12:00:00"), days=day), [trade(str(day)), trade("again")])])
+        job.run_through(spark, JOB, folder, topic.path, str(tmp_path / "echo"))
+    assert asked == [(2, 3), (3, 4)]
+    assert as_set(read_batch_layer(spark, f"{folder}/batch")) == accurate(spark, folder)
+
+
+@pytest.mark.parametrize("broken", ["build_batch_layer", "moved"])
+def test_a_pass_that_breaks_off_is_made_up_for(spark, topic, tmp_path, monkeypatch, broken):
+    folder = str(tmp_path / "job")
+    play(topic, SCRIPT[:3])
+    real = getattr(upkeep, broken)
+
+    def fails(*arguments):
+        if broken == "build_batch_layer":
+            real(*arguments)
+        raise OSError("lost")
+
+    monkeypatch.setattr(upkeep, broken, fails)
+    with pytest.raises(OSError):
+        job.run_through(spark, JOB, folder, topic.path, str(tmp_path / "echo"))
+    assert upkeep.horizon(spark, folder) is None
+    monkeypatch.setattr(upkeep, broken, real)
+    assert upkeep.upkeep(spark, JOB, folder) == [date(2024, 1, 1)]
+    assert upkeep.horizon(spark, folder) == datetime(2024, 1, 1, 0, 4)
+    assert as_set(read_batch_layer(spark, f"{folder}/batch")) == accurate(spark, folder)
+
+
+def test_a_live_job_keeps_itself_up(spark, topic, tmp_path):
+    folder = str(tmp_path / "job")
+    play(topic, SCRIPT[:3])
+    params = JOB.but(available_now=False, max_files_per_trigger=None)
+    queries = job.start(spark, params, folder, topic.path, str(tmp_path / "echo"))
+    seen, limit = [], time.time() + 120
+
+    def work():
+        upkeep.upkeep(spark, params, folder)
+        seen.append(upkeep.horizon(spark, folder))
+        if len({h for h in seen if h}) == 1 and len(topic_files()) == 3:
+            play(topic, [[("01:00:00", "z", "1")]])
+        if len({h for h in seen if h}) == 2 or time.time() > limit:
+            queries[0].stop()
+
+    topic_files = lambda: list((tmp_path / "raw").glob("*.parquet"))
+    job.await_any(queries, 2, work)
+    assert {h for h in seen if h} == {datetime(2024, 1, 1, 0, 4), datetime(2024, 1, 1, 0, 59)}
+    assert not any(q.isActive for q in queries)
+    assert read_revisions(spark, f"{folder}/table").count() >= 0

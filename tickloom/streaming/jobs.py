@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -112,17 +114,22 @@ def run_to_end(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def await_any(queries) -> None:
+def await_any(queries, every: float | None = None, work=None) -> None:
     """Wait until one of the queries ends, then stop the others.
 
-    The failure of any query is raised, not only that of the last one.
+    The failure of any query is raised, not only that of the last one. Every
+    so many seconds ``work`` is called; what it raises stops the queries too.
     """
     queries = list(queries)
+    due = time.monotonic() + every if every else None
     try:
         while all(q.isActive for q in queries):
             for q in queries:
                 if q.awaitTermination(1):
                     break
+            if due and time.monotonic() >= due:
+                work()
+                due = time.monotonic() + every
     finally:
         for q in queries:
             if q.isActive:

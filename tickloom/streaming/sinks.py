@@ -214,11 +214,14 @@ def _drop_unneeded(spark: SparkSession, path: str, upto: int, needed: set) -> No
             remove(spark, f"{path}/{MANIFESTS}/{name}")
 
 
-def read_landed_ticks(spark: SparkSession, path: str, fields=TRADE_FIELDS) -> DataFrame:
-    """Ticks landed by the speed layer for the batch layer."""
+def read_landed_ticks(
+    spark: SparkSession, path: str, fields=TRADE_FIELDS, upto: int | None = None, since: int = -1
+) -> DataFrame:
+    """Ticks landed by the speed layer for the batch layer, of all batches or those after ``since`` up to ``upto``."""
     columns = ", ".join(f"{f} string" for f in fields)
     schema = f"api_call_timestamp timestamp, {columns}, {DATE} date, {BATCH} bigint"
-    return spark.read.schema(schema).parquet(path).drop(BATCH)
+    ticks = spark.read.schema(schema).parquet(path)
+    return (ticks if upto is None else ticks.where(F.col(BATCH).between(since + 1, upto))).drop(BATCH)
 
 
 def compact_table(
