@@ -322,6 +322,16 @@ def speed_layer_late_append(spark, sf_dir):
     return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
 
 
+def per_second_stream(spark, sf_dir):
+    """Whole seconds in append mode: one is out when the watermark has passed its end."""
+
+    def start(spark, params, checkpoint, root):
+        return start_speed_layer(spark, params, checkpoint, f"{root}/table", f"{root}/raw", grain="second")
+
+    root = _replay(spark, sf_dir, start, delay=SHORT_DELAY)
+    return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
+
+
 def speed_layer_readmission(spark, sf_dir):
     root = _replay(spark, sf_dir, _to_table, delay=SHORT_DELAY, output_mode="update")
     return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
@@ -425,6 +435,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_layer_upsert": speed_layer_upsert,
         "speed_layer_revisions": speed_layer_revisions,
         "speed_layer_late_append": speed_layer_late_append,
+        "per_second_stream": per_second_stream,
         "speed_layer_readmission": speed_layer_readmission,
         "speed_layer_late_forever": speed_layer_late_forever,
         "speed_layer_compacted": speed_layer_compacted,
@@ -621,6 +632,8 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
                    count(DISTINCT event_id % 6 = 1) AS revisions
             FROM uniq GROUP BY 1, 2""",
         "speed_layer_late_append": f"{late} SELECT {_rows()} FROM streamed WHERE api_call_timestamp <= (SELECT max(mark) FROM marks)",
+        "per_second_stream": f"""{late} SELECT {_rows()} FROM streamed
+            WHERE api_call_timestamp + INTERVAL 1 SECOND <= (SELECT max(mark) FROM marks)""",
         "speed_layer_readmission": f"{late} SELECT {_rows()} FROM streamed",
         "speed_layer_late_forever": f"{_with(more=_LATE.format(again='false'))} SELECT {_rows()} FROM streamed",
         "speed_layer_compacted": f"{base} SELECT {_rows()} FROM metrics",

@@ -486,3 +486,21 @@ def test_the_whole_job_runs_live_and_grows(spark, topic, tmp_path):
             q.stop()
     with pytest.raises(ValueError, match="KAFKA_BROKER"):
         job.start(spark, JobParams(source="kafka"), folder)
+
+
+def test_seconds_are_published_when_the_watermark_has_passed_them(spark, topic, tmp_path):
+    """Several polls a second, one of them late, an id that comes twice, and a tail."""
+    for polls in (
+        [("00:00:00.1", "a"), ("00:00:00.9", "b"), ("00:00:01", "c")],
+        [("00:00:00.5", "a"), ("00:00:00.7", "d"), ("00:02:00.2", "e")],
+        [("00:01:00.9", "f")],
+        [("00:00:00.8", "late"), ("00:02:00.9", "g"), ("00:03:01.1", "h")],
+        [("00:03:01.2", "i")],
+    ):
+        topic.add([(at(t), [trade(i, size="2")]) for t, i in polls])
+    table = str(tmp_path / "t")
+    query = start_speed_layer(spark, PARAMS, str(tmp_path / "c"), table, topic.path, grain="second")
+    run_to_end(query)
+    rows = sorted((clock(r["api_call_timestamp_utc"]), r["num_trades"], r["share_volume"]) for r in read_table(spark, table).collect())
+    assert rows == [("00:00:00", 3, 6.0), ("00:00:01", 1, 2.0), ("00:01:00", 1, 2.0), ("00:02:00", 2, 4.0)]
+    assert dropped_late(query) >= 1

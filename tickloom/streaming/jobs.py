@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.functions.parsing import parse_ticks
 from tickloom.functions.rendering import echo_rows
 from tickloom.operators.dedup import unique_ticks
-from tickloom.operators.metrics import tick_metrics
+from tickloom.operators.metrics import per_second, tick_metrics
 from tickloom.params import JobParams, require_utc, stream_session
 from tickloom.schemas import METRIC_FIELDS, TRADE_FIELDS
 from tickloom.sources.records import stream_records
@@ -32,9 +32,16 @@ def _unique(ticks: DataFrame, params: JobParams) -> DataFrame:
     return unique_ticks(ticks, params.dedup_keys, params.delay, params.dedup, params.null_ids)
 
 
-def speed_metrics(ticks: DataFrame, params: JobParams) -> DataFrame:
-    """Watermark, dedup and aggregates: the speed layer's whole computation."""
-    return tick_metrics(_unique(ticks, params), params.numbers)
+def speed_metrics(ticks: DataFrame, params: JobParams, grain: str = "poll") -> DataFrame:
+    """Watermark, dedup and aggregates: the speed layer's whole computation.
+
+    Groups are exact poll times, or whole ``second``s, named by their start: a
+    window on event time, final once the watermark has passed its end.
+    """
+    unique = _unique(ticks, params)
+    if grain == "second":
+        return per_second(unique, params.numbers).withColumnRenamed("second", "api_call_timestamp")
+    return tick_metrics(unique, params.numbers)
 
 
 def _start(writer, params: JobParams, checkpoint: str, name: str | None) -> StreamingQuery:
@@ -56,6 +63,7 @@ def start_speed_layer(
     raw: str | None = None,
     messages: str | None = None,
     name: str | None = None,
+    grain: str = "poll",
 ) -> StreamingQuery:
     """Raw topic to keyed table, message topic and external store.
 
@@ -63,11 +71,11 @@ def start_speed_layer(
     is named, the store is written when its table is. One query feeds all of
     them, so parsing, dedup and aggregation happen once. Append mode publishes
     a group once it is final; update mode publishes every revision and the
-    keyed table shows the newest.
+    keyed table shows the newest. ``grain`` is that of :func:`speed_metrics`.
     """
     session = stream_session(spark, params)
     require_utc(session)
-    metrics = speed_metrics(tick_stream(session, params, raw), params)
+    metrics = speed_metrics(tick_stream(session, params, raw), params, grain)
     callback = speed_writer(table, params, messages)
     writer = metrics.writeStream.outputMode(params.output_mode).foreachBatch(callback)
     return _start(writer, params, checkpoint, name)

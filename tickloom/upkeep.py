@@ -60,12 +60,20 @@ def last_pass(spark: SparkSession, folder: str) -> tuple[int, int, int] | None:
     return tuple(spark.read.schema(_STATE).parquet(f"{folder}/upkeep/{done[-1]}").first()) if done else None
 
 
+def _newest(known: int | None, ticks: DataFrame) -> int | None:
+    """The newest poll, in microseconds, of what is known and some ticks."""
+    found = ticks.agg(F.max(F.unix_micros("api_call_timestamp"))).first()[0]
+    return max((n for n in (known, found) if n is not None), default=None)
+
+
 def correct(spark: SparkSession, params: JobParams, folder: str) -> list[date]:
     """Bring the batch layer up to the landed batches; returns the dates rewritten.
 
-    The horizon is the newest landed poll less the watermark's delay: earlier
-    polls are dropped as late from now on. It gets its new value, in one rename,
-    when the layer is written; a pass that fails is made up for by the next one.
+    A micro-batch drops what is older than the watermark that the batch before it
+    began with. So the next one admits no poll before the horizon: the newest
+    landed poll, that of the last batch not counted, less the watermark's delay.
+    It gets its new value, in one rename, when the layer is written; a pass that
+    fails is made up for by the next one.
     """
     ticks_path, layer = f"{folder}/ticks", f"{folder}/batch"
     before = last_pass(spark, folder)
@@ -83,10 +91,9 @@ def correct(spark: SparkSession, params: JobParams, folder: str) -> list[date]:
     else:
         for start, end in stretches(dates):
             touched |= set(refresh_batch_layer(ticks, layer, start, end, keys, params.numbers))
-    new = read_landed_ticks(spark, ticks_path, upto=upto, since=since)
-    latest = new.agg(F.max(F.unix_micros("api_call_timestamp"))).first()[0]
-    newest = latest if newest is None else max(newest, latest)
-    row = [(upto, newest, newest - micros_of(params.delay))]
+    settled = _newest(newest, read_landed_ticks(spark, ticks_path, upto=upto - 1, since=since))
+    newest = _newest(settled, read_landed_ticks(spark, ticks_path, upto=upto, since=upto - 1))
+    row = [(upto, newest, max(0, settled - micros_of(params.delay)) if settled is not None else 0)]
     waiting = f"{folder}/upkeep/_{uuid.uuid4().hex}"
     spark.createDataFrame(row, _STATE).coalesce(1).write.parquet(waiting)
     if not moved(spark, waiting, f"{folder}/upkeep/{len(_passes(spark, folder))}"):
