@@ -8,6 +8,7 @@ whole, so that sums are exact and results can be compared without rounding.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -64,8 +65,11 @@ try:
     from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL, run as run_pipeline
     from tickloom.llm.registry import ORACLES as CORPUS_SQL, QUERIES as CORPUS_QUERIES
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tickloom.llm", "tickloom.llm.registry"):
-        raise
+    name = missing.name or ""
+    if name not in ("corpus_pipeline", "tickloom.llm", "tickloom.llm.registry"):
+        if name.startswith("tickloom"):
+            raise
+        warnings.warn(f"no text queries: they need {name}, see requirements.txt")
     PIPELINE_SQL, CORPUS_SQL, CORPUS_QUERIES = None, {}, {}
 else:
     CORPUS_QUERIES = {**CORPUS_QUERIES, "pipeline": run_pipeline}
