@@ -290,9 +290,31 @@ ends AS (SELECT ways.word, ways.root FROM ways JOIN forms ON ways.root = forms.w
 SELECT word, n::BIGINT AS n, n_near::BIGINT AS n_near, form, form_n::BIGINT AS form_n, root
 FROM forms JOIN ends USING (word)"""
 
+SUBSTRING_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+windows AS (
+  SELECT row, doc_id, i, seq FROM (
+    SELECT row, doc_id, n, i, string_agg(word, ' ') OVER (
+      PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS seq FROM words)
+  WHERE i <= n - 49),
+firsts AS (SELECT seq, min(doc_id) AS first_id FROM windows GROUP BY seq),
+hits AS (SELECT row, i, true AS hit FROM windows JOIN firsts USING (seq) WHERE doc_id > first_id),
+marked AS (
+  SELECT row, i, word, coalesce(bool_or(hit) OVER (
+    PARTITION BY row ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words LEFT JOIN hits USING (row, i)),
+left_over AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (row)"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": URL_SQL,
     "op4_license_scan": LICENSE_SQL,
+    "op7_substring_dedup": SUBSTRING_SQL,
     "op12_target_resampling": TARGET_SQL,
     "op13_spelling_variants": SPELLING_SQL,
 }
