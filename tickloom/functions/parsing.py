@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.schemas import TRADE_FIELDS, envelope_ddl, payload_ddl
 
 
+# Name under which a stream reports how many messages came and were rejected.
+ARRIVED = "arrived"
+
+
 def trades_of(value: Column, fields=TRADE_FIELDS, enveloped: bool = False) -> Column:
     """Parse message text to an array of trades.
 
@@ -24,14 +28,24 @@ def parse_ticks(
     fields=TRADE_FIELDS,
     enveloped: bool = False,
     products=(),
+    counted: bool = False,
 ) -> DataFrame:
     """One row per trade: ``api_call_timestamp`` and the trade's text fields.
 
     Works on batch and stream. Null and empty arrays give no row.
-    ``products`` keeps only those products.
+    ``products`` keeps only those products. ``counted`` makes the plan report,
+    as the observed metrics ``arrived``, its messages and those rejected: there,
+    but not to be parsed.
     """
     trades = trades_of(F.col("value"), fields, enveloped)
-    ticks = records.select(F.col("timestamp").alias("api_call_timestamp"), F.inline(trades))
+    polled = F.col("timestamp").alias("api_call_timestamp")
+    if counted:
+        parsed = records.select(polled, F.col("value").isNotNull().alias("there"), trades.alias("trades"))
+        rejected = F.count_if(F.col("there") & F.col("trades").isNull())
+        parsed = parsed.observe(ARRIVED, F.count(F.lit(1)).alias("messages"), rejected.alias("rejected"))
+        ticks = parsed.select("api_call_timestamp", F.inline("trades"))
+    else:
+        ticks = records.select(polled, F.inline(trades))
     return select_products(ticks, products) if products else ticks
 
 

@@ -29,7 +29,9 @@ def start_writers(spark: SparkSession, params: JobParams, folder: str, raw: str
     params.require_names()
     messages, marks = _messages(spark, params, folder), f"{folder}/checkpoints"
     return [
-        start_speed_layer(spark, params, f"{marks}/speed", f"{folder}/table", raw, messages, "speed"),
+        start_speed_layer(
+            spark, params, f"{marks}/speed", f"{folder}/table", raw, messages, "speed", accounts=f"{folder}/accounts"
+        ),
         land_ticks(spark, params, f"{marks}/landed", f"{folder}/ticks", raw, "landed"),
     ]
 

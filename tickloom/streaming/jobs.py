@@ -14,6 +14,7 @@ from tickloom.operators.metrics import per_second, tick_metrics
 from tickloom.params import JobParams, require_utc, stream_session
 from tickloom.schemas import METRIC_FIELDS, TRADE_FIELDS
 from tickloom.sources.records import stream_records
+from tickloom.streaming.accounts import Accounts
 from tickloom.streaming.sinks import land_writer, speed_writer
 
 
@@ -22,10 +23,11 @@ def tick_stream(
     params: JobParams,
     path: str | None = None,
     fields=METRIC_FIELDS,
+    counted: bool = False,
 ) -> DataFrame:
     """Ticks of the raw topic, of the chosen products, duplicates included."""
     records = stream_records(spark, params, path)
-    return parse_ticks(records, fields, products=params.products)
+    return parse_ticks(records, fields, products=params.products, counted=counted)
 
 
 def _unique(ticks: DataFrame, params: JobParams) -> DataFrame:
@@ -64,6 +66,7 @@ def start_speed_layer(
     messages: str | None = None,
     name: str | None = None,
     grain: str = "poll",
+    accounts: str | None = None,
 ) -> StreamingQuery:
     """Raw topic to keyed table, message topic and external store.
 
@@ -72,10 +75,14 @@ def start_speed_layer(
     them, so parsing, dedup and aggregation happen once. Append mode publishes
     a group once it is final; update mode publishes every revision and the
     keyed table shows the newest. ``grain`` is that of :func:`speed_metrics`.
+    Below ``accounts``, if named, every batch leaves a row of what it read and
+    what vanished in it.
     """
     session = stream_session(spark, params)
     require_utc(session)
-    metrics = speed_metrics(tick_stream(session, params, raw), params, grain)
+    if accounts:
+        session.streams.addListener(Accounts(session, accounts))
+    metrics = speed_metrics(tick_stream(session, params, raw, counted=bool(accounts)), params, grain)
     callback = speed_writer(table, params, messages)
     writer = metrics.writeStream.outputMode(params.output_mode).foreachBatch(callback)
     return _start(writer, params, checkpoint, name)
