@@ -53,10 +53,12 @@ from tickloom.streaming import (
     fold_table,
     land_ticks,
     read_landed_ticks,
+    read_recent_volume,
     read_revisions,
     read_table,
     run_to_end,
     start_message_echo,
+    start_recent_volume,
     start_speed_layer,
 )
 from tickloom.workspace import new_folder
@@ -76,6 +78,7 @@ else:
 
 ZONE = "America/New_York"
 SPAN = "1 hour"
+STREAM_SPAN = "5 hours"
 SHORT_DELAY = "3 days 7 minutes"
 SPLIT = datetime(2024, 1, 16)
 REFRESH = (datetime(2024, 1, 8), datetime(2024, 1, 12))
@@ -336,6 +339,16 @@ def per_second_stream(spark, sf_dir):
     return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
 
 
+def recent_volume_stream(spark, sf_dir):
+    """Three stateful steps in append mode: a row is out with its sum once it is final."""
+
+    def start(spark, params, checkpoint, root):
+        return start_recent_volume(spark, params, checkpoint, f"{root}/volume", STREAM_SPAN, f"{root}/raw")
+
+    root = _replay(spark, sf_dir, start, delay=SHORT_DELAY)
+    return _zoneless(read_recent_volume(spark, f"{root}/volume").drop(DATE))
+
+
 def speed_layer_readmission(spark, sf_dir):
     root = _replay(spark, sf_dir, _to_table, delay=SHORT_DELAY, output_mode="update")
     return _zoneless(read_table(spark, f"{root}/table").drop(DATE))
@@ -440,6 +453,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_layer_revisions": speed_layer_revisions,
         "speed_layer_late_append": speed_layer_late_append,
         "per_second_stream": per_second_stream,
+        "recent_volume_stream": recent_volume_stream,
         "speed_layer_readmission": speed_layer_readmission,
         "speed_layer_late_forever": speed_layer_late_forever,
         "speed_layer_compacted": speed_layer_compacted,
@@ -638,6 +652,8 @@ rough AS (SELECT poll AS api_call_timestamp, product_id, {_MEASURES} FROM ticks
         "speed_layer_late_append": f"{late} SELECT {_rows()} FROM streamed WHERE api_call_timestamp <= (SELECT max(mark) FROM marks)",
         "per_second_stream": f"""{late} SELECT {_rows()} FROM streamed
             WHERE api_call_timestamp + INTERVAL 1 SECOND <= (SELECT max(mark) FROM marks)""",
+        "recent_volume_stream": f"""{late} SELECT *, {volume.format(span=5)} FROM streamed
+            WHERE api_call_timestamp <= (SELECT max(mark) FROM marks)""",
         "speed_layer_readmission": f"{late} SELECT {_rows()} FROM streamed",
         "speed_layer_late_forever": f"{_with(more=_LATE.format(again='false'))} SELECT {_rows()} FROM streamed",
         "speed_layer_compacted": f"{base} SELECT {_rows()} FROM metrics",

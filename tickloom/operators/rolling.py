@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.functions.times import block_of, micros_of
+from tickloom.operators.rolling_state import recent_volume_stream
 
 EVENT_TIME = "api_call_timestamp"
 
@@ -25,8 +26,13 @@ def recent_volume(
     The span includes the row itself and a row exactly ``span`` earlier. Rows
     in the last ``span`` of a block are copied into the next block, where they
     only feed the sums; about one row in ``spans_per_block`` is copied.
+
+    A stream keeps the last span of a product as state instead, see
+    :func:`~tickloom.operators.rolling_state.recent_volume_stream`.
     """
     width = micros_of(span)
+    if metrics.isStreaming:
+        return recent_volume_stream(metrics, width, time)
     length = width * spans_per_block
     at = F.unix_micros(time)
     home = block_of(time, f"{length} microseconds")

@@ -4,6 +4,7 @@ from tickloom.streaming.jobs import (
     run_to_end,
     speed_metrics,
     start_message_echo,
+    start_recent_volume,
     start_speed_layer,
     tick_stream,
 )
@@ -12,6 +13,7 @@ from tickloom.streaming.sinks import (
     compact_table,
     fold_table,
     read_landed_ticks,
+    read_recent_volume,
     read_revisions,
     read_table,
     write_relational,
@@ -25,11 +27,13 @@ __all__ = [
     "fold_table",
     "land_ticks",
     "read_landed_ticks",
+    "read_recent_volume",
     "read_revisions",
     "read_table",
     "run_to_end",
     "speed_metrics",
     "start_message_echo",
+    "start_recent_volume",
     "start_speed_layer",
     "state_rows",
     "tick_stream",

@@ -11,11 +11,12 @@ from tickloom.functions.parsing import parse_ticks
 from tickloom.functions.rendering import echo_rows
 from tickloom.operators.dedup import unique_ticks
 from tickloom.operators.metrics import per_second, tick_metrics
+from tickloom.operators.rolling import recent_volume
 from tickloom.params import JobParams, require_utc, stream_session
 from tickloom.schemas import METRIC_FIELDS, TRADE_FIELDS
 from tickloom.sources.records import stream_records
 from tickloom.streaming.accounts import Accounts
-from tickloom.streaming.sinks import land_writer, speed_writer
+from tickloom.streaming.sinks import land_writer, speed_writer, volume_writer
 
 
 def tick_stream(
@@ -104,6 +105,29 @@ def land_ticks(
     return _start(writer, params, checkpoint, name)
 
 
+def start_recent_volume(
+    spark: SparkSession,
+    params: JobParams,
+    checkpoint: str,
+    target: str,
+    span: str = "1 hour",
+    raw: str | None = None,
+    name: str | None = None,
+) -> StreamingQuery:
+    """Raw topic to a dated table of aggregates with the volume of their last ``span``.
+
+    A row is written once, when it is final, by one query: dedup, aggregates and
+    the sums over them are three stateful steps behind one watermark.
+    """
+    if not params.rocksdb or params.output_mode != "append":
+        raise ValueError("recent volume of a stream needs RocksDB state and append mode")
+    session = stream_session(spark, params)
+    require_utc(session)
+    metrics = speed_metrics(tick_stream(session, params, raw), params)
+    writer = recent_volume(metrics, span).writeStream.outputMode("append").foreachBatch(volume_writer(target, params))
+    return _start(writer, params, checkpoint, name)
+
+
 def start_message_echo(
     spark: SparkSession,
     params: JobParams,

@@ -16,7 +16,7 @@ from tickloom.functions.times import utc_date
 from tickloom.params import JobParams
 from tickloom.plans.layers import BATCH, DATE, latest_rows, with_date, write_rows
 from tickloom.plans.tables import assert_valid, narrow_rows, to_table_rows
-from tickloom.schemas import MEASURE_COLUMNS, TABLE_DDL, TRADE_FIELDS
+from tickloom.schemas import MEASURE_COLUMNS, METRICS_DDL, TABLE_DDL, TRADE_FIELDS
 from tickloom.workspace import children, moved, remove
 
 # Below a table, in names that readers of its batches pass over: the rows of
@@ -224,6 +224,22 @@ def read_landed_ticks(
     return (ticks if upto is None else ticks.where(F.col(BATCH).between(since + 1, upto))).drop(BATCH)
 
 
+def volume_writer(path: str, params: JobParams):
+    """Batch callback that writes aggregates with their recent volume, in the table's types, by date."""
+    land = land_writer(path, params)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        land(rows.withColumns({c: F.col(c).cast("double") for c in (*MEASURE_COLUMNS, "recent_volume")}), batch_id)
+
+    return write
+
+
+def read_recent_volume(spark: SparkSession, path: str) -> DataFrame:
+    """Aggregates of a stream with the volume of the span up to each of them."""
+    schema = f"{METRICS_DDL}, recent_volume double, {DATE} date, {BATCH} bigint"
+    return spark.read.schema(schema).parquet(path).drop(BATCH)
+
+
 def compact_table(
     spark: SparkSession, path: str, target: str, upto: int, base: str | None = None, since: int = -1
 ) -> None:
