@@ -1,11 +1,16 @@
-"""Probabilistic automata inferred from examples by state merging."""
+"""Probabilistic automata inferred from examples by state merging, and what speaks against them."""
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
 from math import log, sqrt
 
 SYMBOLS = 96
+LENGTHS = 4096
 _BLUR = 0.01
+_TRUST = 2.0
+_COMMON = 20.0
 
 
 class Automaton:
@@ -20,8 +25,10 @@ class Automaton:
         self.passes, self.ends = [0], [0]
         self.steps: list[dict[str, int]] = [{}]
         self.counts: list[dict[str, int]] = [{}]
+        self.symbols: Counter[str] = Counter()
         for example in examples:
             state = 0
+            self.symbols.update(example)
             for symbol in example:
                 self.passes[state] += 1
                 following = self.steps[state].get(symbol)
@@ -91,6 +98,22 @@ class Automaton:
                 self.steps[a][symbol] = same
                 self._fold(same, b)
 
+    def steps_likelihood(self, text: str) -> float:
+        """Log likelihood of a text's symbols, given that it does not end before its last one.
+
+        A state knows its steps as far as it was passed; for the rest, and once
+        the text has left the automaton, the examples' symbols count at large.
+        """
+        state, total, at_large = 0, 0.0, sum(self.symbols.values())
+        for symbol in text:
+            share = (self.symbols[symbol] + 1 / SYMBOLS) / (at_large + 1)
+            if state is not None:
+                known = self.passes[state] - self.ends[state]
+                share = (self.counts[state].get(symbol, 0) + _TRUST * share) / (known + _TRUST)
+                state = self.steps[state].get(symbol)
+            total += log(share)
+        return total
+
     def likelihood(self, text: str) -> float:
         """Log likelihood of a text for each of its symbols and its end.
 
@@ -106,3 +129,63 @@ class Automaton:
             state = None if state is None else self.steps[state].get(symbol)
         ended = 0.0 if state is None or not self.passes[state] else self.ends[state] / self.passes[state]
         return (total + log((1 - _BLUR) * ended + _BLUR / SYMBOLS)) / (len(text) + 1)
+
+
+class Lengths:
+    """Log likelihood of a length: as often as examples have it or lie around it, and once for all others."""
+
+    def __init__(self, examples):
+        self.seen = Counter(map(len, examples))
+        self.low, self.high = min(self.seen), max(self.seen)
+        self.total = sum(self.seen.values())
+
+    def likelihood(self, length: int) -> float:
+        share = 0.9 * self.seen[length]
+        if self.low <= length <= self.high:
+            share += 0.1 * self.total / (self.high - self.low + 1)
+        return log((share + 1 / LENGTHS) / (self.total + 1))
+
+
+class Format:
+    """A format inferred from examples: an automaton for the symbols, and their lengths.
+
+    The likelihood is that of the whole string. States that were merged into a
+    loop have forgotten how long a string was, so length counts by itself.
+    """
+
+    def __init__(self, examples, alpha: float = 0.05):
+        examples = list(examples)
+        self.automaton = Automaton(examples).merge_all(alpha)
+        self.lengths = Lengths(examples)
+
+    def likelihood(self, text: str) -> float:
+        return self.lengths.likelihood(len(text)) + self.automaton.steps_likelihood(text)
+
+
+class Ordinary:
+    """What ordinary runs look like: a chain of symbols, from counts of neighbours.
+
+    ``pairs`` are (symbol, next one, count); an empty symbol is the start or the
+    end. After a symbol that is rare, what follows is judged by symbols at large.
+    """
+
+    def __init__(self, pairs):
+        self.steps = {(a, b): n for a, b, n in pairs}
+        self.leaving, self.entering = Counter(), Counter()
+        for (a, b), n in self.steps.items():
+            self.leaving[a] += n
+            self.entering[b] += n
+        self.runs, self.total = self.leaving[""], sum(self.leaving.values())
+
+    def likelihood(self, text: str, counted: bool = False) -> float:
+        """Of the whole string. ``counted``: it is one of the runs, and does not count for itself."""
+        pairs = list(zip(chain(("",), text), chain(text, ("",))))
+        own = Counter(pairs) if counted else {}
+        leaving = Counter(a for a, _ in pairs) if counted else {}
+        entering = Counter(b for _, b in pairs) if counted else {}
+        size, total = len(pairs) if counted else 0, 0.0
+        for a, b in pairs:
+            at_large = (self.entering[b] - entering.get(b, 0) + 1 / SYMBOLS) / (self.total - size + 1)
+            step = self.steps.get((a, b), 0) - own.get((a, b), 0)
+            total += log((step + _COMMON * at_large) / (self.leaving[a] - leaving.get(a, 0) + _COMMON))
+        return total

@@ -1,16 +1,20 @@
 """Secrets: fixed patterns, and formats inferred from what they find.
 
 The patterns find credentials with a kind. Those are the labelled examples: for
-each kind a probabilistic automaton is inferred from a bounded sample of them.
-Every other run of a credential's characters, from the patterns' shortest length
-on, is then scored by each automaton, and is a finding if its likelihood is one that examples of the kind,
-held out from the inference, have themselves.
+each kind a probabilistic automaton, with the lengths beside it, is inferred from
+a bounded sample of them. Every other run of a credential's characters, from the
+patterns' shortest length on, is then scored: the log likelihood of the whole
+string under the format less that under a chain of symbols, which is counted over
+all those runs. What a finding must score comes from examples that the inference
+had not seen and from how much rarer credentials are than runs.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from math import log
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tickloom.llm.common import new_folder, written
-from tickloom.llm.grammar import Automaton
+from tickloom.llm.grammar import Format, Ordinary
 
 # The kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -32,20 +36,22 @@ SHORTEST_ASSIGNED = 8
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 PART = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
+CLASSES = {name: re.compile(f"[{name}]") for name in ("a-z", "A-Z", "0-9", "+/_.=-")}
+
 SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
 @dataclass(frozen=True)
 class Settings:
     """``examples`` bounds the distinct credentials of a kind that are looked
-    at, those of at most ``longest`` characters; half of them are held out.
-    A kind with fewer than ``fewest`` learns nothing. A finding is as likely as
-    the held-out example at the ``level`` quantile.
+    at, those of at most ``longest`` characters. Fewer than ``fewest`` of one
+    alphabet teach nothing. ``level`` is the quantile of held-out examples that
+    the least score of a finding is drawn from.
     """
 
     examples: int = 1000
     longest: int = 128
-    fewest: int = 20
+    fewest: int = 6
     alpha: float = 0.05
     level: float = 0.02
 
@@ -112,17 +118,58 @@ def examples(spans: DataFrame, kind: str, settings: Settings) -> list[str]:
     return [r["value"] for r in rows]
 
 
-def infer(spans: DataFrame, settings: Settings = Settings()) -> dict[str, tuple[Automaton, float]]:
-    """For each kind its automaton and the least likelihood of a finding."""
-    models = {}
+def ordinary_runs(spans: DataFrame) -> Ordinary:
+    """The chain of symbols of all candidates, by their occurrences.
+
+    Occurrences are counted by value first, which combines before the shuffle;
+    what is collected has a row for each pair of symbols, 68 * 68 at most.
+    """
+    each = spans.select(F.explode("candidates.value").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    symbols = F.filter(F.split("value", ""), lambda c: c != "")
+    edge = F.array(F.lit(""))
+    pair = F.explode(F.zip_with(F.concat(edge, symbols), F.concat(symbols, edge), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = each.select("n", pair.alias("pair")).groupBy("pair.a", "pair.b").agg(F.sum("n").alias("n"))
+    return Ordinary([(r["a"], r["b"], r["n"]) for r in pairs.collect()])
+
+
+def alphabet(value: str) -> str:
+    """The classes of symbols a credential is made of."""
+    return "".join(name for name, pattern in CLASSES.items() if pattern.search(value))
+
+
+def infer(spans: DataFrame, settings: Settings = Settings()) -> tuple[list[tuple[str, Format, float]], Ordinary | None]:
+    """(kind, format, least score of a finding) for each format, and the ordinary runs.
+
+    Examples of a kind make a format for each alphabet that enough of them have.
+    Two halves of them are scored by the format of the other half, so all are
+    held out once; the format itself has all. A run that is as likely a
+    credential as not has as score the log of how many runs there are for each
+    credential. The least score lies midway between that and the held-out
+    examples', as bare credentials count among the ordinary runs and so score
+    less than examples do, and never below the former.
+    """
+    known = {}
     for kind in KINDS:
-        values = examples(spans, kind, settings)
-        if len(values) < settings.fewest:
-            continue
-        automaton = Automaton(values[::2]).merge_all(settings.alpha)
-        held = sorted(map(automaton.likelihood, values[1::2]))
-        models[kind] = automaton, held[int(settings.level * len(held))]
-    return models
+        for value in examples(spans, kind, settings):
+            known.setdefault((kind, alphabet(value)), []).append(value)
+    sizes = Counter()
+    for (kind, _), values in known.items():
+        sizes[kind] += len(values)
+    known = {key: values for key, values in known.items() if len(values) >= settings.fewest}
+    if not known:
+        return [], None
+    counts = spans.select(F.explode("base.kind").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    there, ordinary = {r["kind"]: r["n"] for r in counts}, ordinary_runs(spans)
+    models = []
+    for (kind, _), values in sorted(known.items()):
+        held = []
+        for half in (0, 1):
+            format = Format(values[half::2], settings.alpha)
+            held += [format.likelihood(v) - ordinary.likelihood(v) for v in values[1 - half :: 2]]
+        level = sorted(held)[int(settings.level * len(held))]
+        even = log(max(ordinary.runs, 1) * sizes[kind] / (there[kind] * len(values)))
+        models.append((kind, Format(values, settings.alpha), max(even, (even + level) / 2)))
+    return models, ordinary
 
 
 def find_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -141,9 +188,12 @@ def find_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def liked(starts: pd.Series, stops: pd.Series, values: pd.Series) -> pd.Series:
         known: dict[str, str | None] = {}
 
+        formats, ordinary = models.value
+
         def best(value):
             if value not in known:
-                ratings = [(m.likelihood(value) - least, kind) for kind, (m, least) in models.value.items()]
+                against = ordinary.likelihood(value, counted=True) if formats else 0.0
+                ratings = [(m.likelihood(value) - against - least, kind) for kind, m, least in formats]
                 margin, kind = max(ratings, default=(-1.0, ""))
                 known[value] = f"like_{kind}" if margin >= 0 else None
             return known[value]
