@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
 from math import log, sqrt
+from operator import add
 
 SYMBOLS = 96
 LENGTHS = 4096
+EDGE = "\n"
 _BLUR = 0.01
 _TRUST = 2.0
 _COMMON = 20.0
@@ -170,22 +171,33 @@ class Ordinary:
     """
 
     def __init__(self, pairs):
-        self.steps = {(a, b): n for a, b, n in pairs}
-        self.leaving, self.entering = Counter(), Counter()
-        for (a, b), n in self.steps.items():
-            self.leaving[a] += n
-            self.entering[b] += n
-        self.runs, self.total = self.leaving[""], sum(self.leaving.values())
+        steps = {(a or EDGE) + (b or EDGE): n for a, b, n in pairs}
+        leaving, entering = Counter(), Counter()
+        for pair, n in steps.items():
+            leaving[pair[0]] += n
+            entering[pair[1]] += n
+        self.runs = leaving[EDGE]
+        self.logs = _Logs(steps, leaving, entering, 0), _Logs(steps, leaving, entering, 1)
 
     def likelihood(self, text: str, counted: bool = False) -> float:
-        """Of the whole string. ``counted``: it is one of the runs, and does not count for itself."""
-        pairs = list(zip(chain(("",), text), chain(text, ("",))))
-        own = Counter(pairs) if counted else {}
-        leaving = Counter(a for a, _ in pairs) if counted else {}
-        entering = Counter(b for _, b in pairs) if counted else {}
-        size, total = len(pairs) if counted else 0, 0.0
-        for a, b in pairs:
-            at_large = (self.entering[b] - entering.get(b, 0) + 1 / SYMBOLS) / (self.total - size + 1)
-            step = self.steps.get((a, b), 0) - own.get((a, b), 0)
-            total += log((step + _COMMON * at_large) / (self.leaving[a] - leaving.get(a, 0) + _COMMON))
-        return total
+        """Of the whole string. ``counted``: it is one of the runs, and its steps do not count for themselves."""
+        whole = EDGE + text + EDGE
+        return sum(map(self.logs[counted].__getitem__, map(add, whole, whole[1:])))
+
+
+class _Logs(dict):
+    """Logs of the steps' shares, a pair of symbols each, with ``own`` steps left out; filled as asked for."""
+
+    def __init__(self, steps, leaving, entering, own):
+        super().__init__()
+        self.counts, self.own = (steps, leaving, entering), own
+
+    def __missing__(self, pair: str) -> float:
+        steps, leaving, entering = self.counts
+        at_large = (entering[pair[1]] + 1 / SYMBOLS) / (sum(entering.values()) + 1)
+        step, left = (max(n - self.own, 0) for n in (steps.get(pair, 0), leaving[pair[0]]))
+        self[pair] = log((step + _COMMON * at_large) / (left + _COMMON))
+        return self[pair]
+
+    def __reduce__(self):
+        return _Logs, (*self.counts, self.own)

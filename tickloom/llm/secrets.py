@@ -193,7 +193,9 @@ def find_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         def best(value):
             if value not in known:
                 against = ordinary.likelihood(value, counted=True) if formats else 0.0
-                ratings = [(m.likelihood(value) - against - least, kind) for kind, m, least in formats]
+                # A likelihood's log is never above zero: most runs are too ordinary for any format.
+                open_to = [(kind, m, against + least) for kind, m, least in formats if against + least <= 0]
+                ratings = [(m.likelihood(value) - needed, kind) for kind, m, needed in open_to]
                 margin, kind = max(ratings, default=(-1.0, ""))
                 known[value] = f"like_{kind}" if margin >= 0 else None
             return known[value]
