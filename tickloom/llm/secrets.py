@@ -38,6 +38,9 @@ PART = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 CLASSES = {name: re.compile(f"[{name}]") for name in ("a-z", "A-Z", "0-9", "+/_.=-")}
 
+# Texts whose spans are Python objects at a time; the rest of a batch is still Arrow.
+SLICE = 256
+
 SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
@@ -99,12 +102,15 @@ def scanned(docs: DataFrame) -> DataFrame:
         )
         named = lambda spans: [dict(zip(("kind", "start", "stop", "value"), s)) for s in spans]
         for batch in batches:
-            base = [base_spans(t or "") for t in batch.column(1).to_pylist()]
-            rest = [candidates(t or "", b) for t, b in zip(batch.column(1).to_pylist(), base)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(named, base), kind), pa.array(map(named, rest), kind)],
-                names=["doc_id", "base", "candidates"],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                texts = [t or "" for t in piece.column(1).to_pylist()]
+                base = [base_spans(t) for t in texts]
+                rest = [candidates(t, b) for t, b in zip(texts, base)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(map(named, base), kind), pa.array(map(named, rest), kind)],
+                    names=["doc_id", "base", "candidates"],
+                )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id bigint, base {SPANS}, candidates {SPANS}")
