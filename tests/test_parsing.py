@@ -92,3 +92,27 @@ def test_product_selection(records):
     source = records([(at("00:00:00"), [trade("1", "A"), trade("2", "B"), trade("3", "C")])])
     kept = parse_ticks(source, products=("A", "C")).collect()
     assert [r["trade_id"] for r in kept] == ["1", "3"]
+
+
+@pytest.mark.parametrize("products", [(), ("A",)])
+@pytest.mark.parametrize("counted", [False, True])
+def test_trades_without_id_leave_a_message_as_one(records, products, counted):
+    """Half of all trades have no id; products are chosen before one of them stands for the rest."""
+    polls = [
+        (at(f"00:00:{m:02d}"), [trade(None if i % 2 else f"{m}-{i}", "BA"[i % 4 == 3], size=str(i)) for i in range(40)])
+        for m in range(20)
+    ]
+    polls += [(at("00:01:00"), []), (at("00:01:01"), "no json"), (at("00:01:02"), None), (at("00:01:03"), [trade(None, "C")])]
+    fields = ("trade_id", "product_id", "size")
+    every = parse_ticks(records(polls), fields, products=products).collect()
+    ticks = parse_ticks(records(polls), fields, products=products, counted=counted, one_missing="trade_id")
+    rows = ticks.collect()
+    assert {r for r in every if r["trade_id"]} == {r for r in rows if r["trade_id"]}
+    firsts = {}
+    for r in every:
+        if r["trade_id"] is None:
+            firsts.setdefault(r["api_call_timestamp"], r)
+    assert sorted(r for r in rows if r["trade_id"] is None) == sorted(firsts.values())
+    assert len(firsts) == (20 if products else 21)
+    plan = ticks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -29,13 +29,17 @@ def parse_ticks(
     enveloped: bool = False,
     products=(),
     counted: bool = False,
+    one_missing: str | None = None,
 ) -> DataFrame:
     """One row per trade: ``api_call_timestamp`` and the trade's text fields.
 
     Works on batch and stream. Null and empty arrays give no row.
     ``products`` keeps only those products. ``counted`` makes the plan report,
     as the observed metrics ``arrived``, its messages and those rejected: there,
-    but not to be parsed.
+    but not to be parsed. ``one_missing`` names a field: of the trades of one
+    message that lack it only the first gives a row, so that a dedup by that
+    field gets one such row per message. They share their poll time, so a
+    watermark drops all of them or none.
     """
     trades = trades_of(F.col("value"), fields, enveloped)
     polled = F.col("timestamp").alias("api_call_timestamp")
@@ -43,9 +47,15 @@ def parse_ticks(
         parsed = records.select(polled, F.col("value").isNotNull().alias("there"), trades.alias("trades"))
         rejected = F.count_if(F.col("there") & F.col("trades").isNull())
         parsed = parsed.observe(ARRIVED, F.count(F.lit(1)).alias("messages"), rejected.alias("rejected"))
-        ticks = parsed.select("api_call_timestamp", F.inline("trades"))
     else:
-        ticks = records.select(polled, F.inline(trades))
+        parsed = records.select(polled, trades.alias("trades"))
+    if one_missing:
+        # The products come first: what is left out must not stand for what is kept.
+        wanted = F.filter("trades", lambda t: t["product_id"].isin(*products)) if products else F.col("trades")
+        there = F.filter(wanted, lambda t: t[one_missing].isNotNull())
+        missing = F.slice(F.filter(wanted, lambda t: t[one_missing].isNull()), 1, 1)
+        return parsed.select("api_call_timestamp", F.inline(F.concat(there, missing)))
+    ticks = parsed.select("api_call_timestamp", F.inline("trades"))
     return select_products(ticks, products) if products else ticks
 
 

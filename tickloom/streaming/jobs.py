@@ -26,9 +26,14 @@ def tick_stream(
     fields=METRIC_FIELDS,
     counted: bool = False,
 ) -> DataFrame:
-    """Ticks of the raw topic, of the chosen products, duplicates included."""
+    """Ticks of the raw topic, of the chosen products, duplicates included.
+
+    Where the dedup has one key, trades of one message that lack it are one
+    trade already here, before the shuffle that would send them to one task.
+    """
     records = stream_records(spark, params, path)
-    return parse_ticks(records, fields, products=params.products, counted=counted)
+    one = params.dedup_keys[0] if len(params.dedup_keys) == 1 and params.null_ids == "dedup" else None
+    return parse_ticks(records, fields, products=params.products, counted=counted, one_missing=one)
 
 
 def _unique(ticks: DataFrame, params: JobParams) -> DataFrame:
