@@ -30,7 +30,7 @@ from tickloom.operators import (
     tick_metrics,
     unique_ticks,
 )
-from tickloom.params import JobParams
+from tickloom.params import JobParams, state_width
 from tickloom.plans import (
     batch_layer,
     build_batch_layer,
@@ -277,7 +277,8 @@ def serving(spark, sf_dir):
 def _replay(spark, sf_dir, start, **changes) -> str:
     """Run a job over the waves, stopping and resuming it after each one."""
     root = new_folder(spark, "replay")
-    settings = {"available_now": True, "delay": LAG, "message_topic": "metrics", **changes}
+    width = state_width(spark, read_events(spark, sf_dir).count())
+    settings = {"available_now": True, "delay": LAG, "message_topic": "metrics", "state_partitions": width, **changes}
     params = JobParams(**settings)
     for _ in write_waves(spark, sf_dir, f"{root}/raw"):
         run_to_end(start(spark, params, f"{root}/checkpoint", root))

@@ -123,6 +123,20 @@ def session_settings(params: JobParams) -> dict[str, str]:
     return settings
 
 
+def state_width(spark: SparkSession, rows: int, rows_each: int = 500_000) -> int:
+    """State partitions of a stream that is to take ``rows`` rows in all.
+
+    Every state partition has a price in every batch: a store to open and to
+    commit for each stateful step, and files for each date it writes. So there
+    are no more than cores to work on them, unless each would get more than
+    ``rows_each`` rows; the session's shuffle width, made for batches whose
+    partitions are merged while they run, is no measure of that.
+    """
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(cores, session), -(-rows // rows_each))
+
+
 def build_session(params: JobParams, log_level: str = "WARN") -> SparkSession:
     """Session of a stand-alone job. Master and jars come from spark-submit."""
     builder = SparkSession.builder.appName(params.app_name)
