@@ -34,6 +34,7 @@ from tickloom.params import JobParams, state_width
 from tickloom.plans import (
     batch_layer,
     build_batch_layer,
+    land_batch,
     lookback,
     narrow_rows,
     read_batch_layer,
@@ -212,10 +213,15 @@ def local_times(spark, sf_dir):
     )
 
 
+def _landed(spark, sf_dir, path) -> DataFrame:
+    """The ticks as the batch layer finds them: parsed once, landed by date."""
+    return land_batch(_ticks(spark, sf_dir), path)
+
+
 def batch_layer_table(spark, sf_dir):
-    """All dates, written and then partly recomputed from the raw ticks."""
+    """All dates, written and then partly recomputed from the landed ticks."""
     path = new_folder(spark, "batch")
-    ticks = _ticks(spark, sf_dir)
+    ticks = _landed(spark, sf_dir, f"{path}/ticks")
     build_batch_layer(ticks, path)
     refresh_batch_layer(ticks, path, SPLIT, datetime(2024, 1, 20))
     return _zoneless(read_batch_layer(spark, path))
@@ -229,13 +235,14 @@ def batch_refresh(spark, sf_dir):
     are withdrawn.
     """
     path = new_folder(spark, "batch")
-    ticks = _ticks(spark, sf_dir)
+    landed = _landed(spark, sf_dir, f"{path}/ticks")
+    ticks = landed.drop(DATE)  # rows whose poll is moved would keep their old date
     polled, (start, end) = F.col("api_call_timestamp"), map(instant, REFRESH)
     missing = (polled >= start) & (polled < end) & (F.col("trade_id") % 3 == 0)
     strays = ticks.where(F.col("trade_id") % 5 == 1).withColumn("api_call_timestamp", instant(STRAY))
     build_batch_layer(ticks.where(~missing).unionByName(strays), path)
-    refresh_batch_layer(ticks, path, *REFRESH)
-    refresh_batch_layer(ticks, path, STRAY, STRAY + timedelta(days=1))
+    refresh_batch_layer(landed, path, *REFRESH)
+    refresh_batch_layer(landed, path, STRAY, STRAY + timedelta(days=1))
     return _zoneless(read_batch_layer(spark, path))
 
 

@@ -1,6 +1,7 @@
 from tickloom.plans.layers import (
     batch_layer,
     build_batch_layer,
+    land_batch,
     latest_rows,
     lookback,
     read_batch_layer,
@@ -18,6 +19,7 @@ from tickloom.plans.tables import (
 __all__ = [
     "batch_layer",
     "build_batch_layer",
+    "land_batch",
     "latest_rows",
     "lookback",
     "narrow_rows",
