@@ -21,7 +21,7 @@ def test_landed_ticks_are_the_same_with_their_date(spark, records, tmp_path):
     assert days == {"a": date(2024, 1, 1), "b": date(2024, 1, 2), "c": None}
 
 
-@pytest.mark.parametrize("name", ["batch_layer", "batch_refresh"])
+@pytest.mark.parametrize("name", ["batch_layer", "batch_refresh", "batch_refresh_lost_ids"])
 def test_messages_are_not_parsed_again(spark, monkeypatch, name):
     """Before, the build parsed all messages twice and the refresh two or three times more."""
     plans = []
