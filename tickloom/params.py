@@ -65,6 +65,7 @@ class JobParams:
     output_mode: str = "append"
     state_partitions: int | None = None
     rocksdb: bool = True
+    count_state: bool = True
     strict_source: bool = True
     starting_offsets: str = "latest"
     min_partitions: int | None = None
@@ -116,8 +117,12 @@ def session_settings(params: JobParams) -> dict[str, str]:
     if params.rocksdb:
         settings["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
         rocksdb = "spark.sql.streaming.stateStore.rocksdb"
-        # Upload only what a batch changed; full snapshots follow in the background.
-        settings[f"{rocksdb}.changelogCheckpointing.enabled"] = "true"
+        # Upload only what a batch changed; full snapshots follow in the background. A job that
+        # takes what is there and ends has few large batches and no background: each run would
+        # read the changes of all runs before it again. It uploads the store's new files instead.
+        settings[f"{rocksdb}.changelogCheckpointing.enabled"] = str(not params.available_now).lower()
+        # The count of rows in state costs a look-up for every row put or removed.
+        settings[f"{rocksdb}.trackTotalNumberOfRows"] = str(params.count_state).lower()
         # One memory budget per executor, however many state partitions it holds.
         settings[f"{rocksdb}.boundedMemoryUsage"] = "true"
     return settings
