@@ -81,18 +81,16 @@ def event_records(
     ``enveloped`` keeps the poll response around the trades; ``broken_errors``
     replaces the payload of errors by text that is not JSON.
     """
-    one = trade(raw_numbers, blank_sizes)
-    poll = poll_time(poll_seconds)
-    twice = F.col("event_id") % 7 == 0
     again = F.col("event_id") % 3 == 0
-    first = F.struct(
-        poll.alias("poll"), F.when(twice, F.array(one, one)).otherwise(F.array(one)).alias("trades")
+    deliveries = F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    first = poll_time(poll_seconds)
+    # Only what a wave is found by comes before its filter; trades are built after that.
+    delivered = events.select("*", F.explode(deliveries).alias("nth")).withColumn(
+        "poll", F.when(F.col("nth") == 0, first).otherwise(first + F.expr(f"interval {LAG}"))
     )
-    second = F.struct((poll + F.expr(f"interval {LAG}")).alias("poll"), F.array(one).alias("trades"))
-    deliveries = F.when(again, F.array(first, second)).otherwise(F.array(first))
-    delivered = events.select("event_id", "event_type", F.posexplode(deliveries).alias("nth", "sent"))
 
-    body = F.col("sent.trades")
+    twice = (F.col("nth") == 0) & (F.col("event_id") % 7 == 0)
+    body = F.array_repeat(trade(raw_numbers, blank_sizes), F.when(twice, 2).otherwise(1))
     if enveloped:
         body = F.struct(body.alias("trades"), F.lit("1.5").alias("best_bid"), F.lit("2.5").alias("best_ask"))
     text = F.to_json(body)
@@ -105,10 +103,10 @@ def event_records(
         F.lit("trades").alias("topic"),
         F.lit(0).alias("partition"),
         (F.col("event_id") * 2 + F.col("nth")).alias("offset"),
-        F.col("sent.poll").alias("timestamp"),
+        F.col("poll").alias("timestamp"),
         F.lit(0).alias("timestampType"),
         F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
-        (F.floor(F.unix_date(F.col("sent.poll").cast("date")) / LAG_DAYS) + delayed).alias("wave"),
+        (F.floor(F.unix_date(F.col("poll").cast("date")) / LAG_DAYS) + delayed).alias("wave"),
     )
 
 
