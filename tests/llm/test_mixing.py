@@ -6,7 +6,7 @@ from math import exp, log
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.mixing import PARTS, Settings, memberships, mix, rates
+from tickloom.llm.mixing import DOMAINS, PARTS, Settings, fit, memberships, mix, rates
 
 LABELS = "doc_id bigint, quality int, toxic int, rate string"
 
@@ -54,6 +54,25 @@ def test_posteriors_equal_a_plain_classifier(spark, documents):
         assert all(abs(r[f"p{k}"] - s) <= 1.01 for k, s in enumerate(shares))
 
 
+def test_broadcast_weights_are_blocks_of_buckets(spark, documents):
+    """A row for each bucket took some 80 MB of the driver when it was broadcast."""
+    rows, labels = corpus()
+    docs = documents(rows)
+    weights, _, defaults = fit(docs, spark.createDataFrame(labels, LABELS), Settings(bits=12))
+    assert weights.count() <= 4096 // 64
+    held = {r["block"]: r for r in weights.collect()}
+    words = docs.select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    bucket = {r["w"]: r["b"] for r in words.selectExpr("w", "pmod(xxhash64(w), 4096) b").collect()}
+    domain = {i: 1 if t else 0 if q else 2 for i, q, t, _ in labels}
+    for k in range(len(DOMAINS)):
+        told = [bucket[w] for i, text in rows if domain.get(i) == k for w in text.split()]
+        below = len(told) + 0.1 * 4096
+        assert defaults[k] == log(0.1 / below)
+        for b in range(4096):
+            found = held[b // 64][f"w{k}"][b % 64] if b // 64 in held else defaults[k]
+            assert found == pytest.approx(log((told.count(b) + 0.1) / below))
+
+
 @pytest.mark.parametrize("targets,budget", [((0.9, 0.06, 0.04), 1.0), ((0.5, 0.5, 0.0), 2.0), ((1.0, 0.0, 0.0), 1.0)])
 def test_rates_meet_the_targets(spark, documents, targets, budget):
     rows, labels = corpus()

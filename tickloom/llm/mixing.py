@@ -25,6 +25,7 @@ from tickloom.llm.common import new_folder, words_of, written
 # The domains of the labels table.
 DOMAINS = ("clean", "toxic", "low")
 PARTS = 1000
+BLOCK_BITS = 6
 
 
 @dataclass(frozen=True)
@@ -58,9 +59,9 @@ def _tokens(docs: DataFrame, *keep: str, bits: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings, domains=DOMAINS):
-    """(weights, priors, defaults): log weights by bucket, one column a domain.
+    """(weights, priors, defaults): log weights by bucket, in the form of :func:`_blocks`.
 
-    ``weights`` has at most ``2 ** bits`` rows whatever the data.
+    ``weights`` stands for at most ``2 ** bits`` buckets whatever the data.
     """
     chosen = domain_of(labels).orderBy(F.xxhash64("labelled_id", F.lit("mixing")), "labelled_id").limit(settings.fit_rows)
     texts = docs.select("doc_id", "text")
@@ -79,7 +80,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, domains=DOMAINS)
     weights = counts.select(F.col("bucket").alias("known"), *[weight(k).alias(f"w{k}") for k in n])
     defaults = [log(settings.smoothing / below[k]) for k in n]
     priors = [log((sizes[k] + 1) / (sum(sizes) + len(domains))) for k in n]
-    return written(weights, f"{folder}/weights"), priors, defaults
+    return written(_blocks(weights, defaults), f"{folder}/weights"), priors, defaults
+
+
+def _blocks(weights: DataFrame, defaults: list[float]) -> DataFrame:
+    """The weights as ``block`` and an array a domain, one row for ``2 ** BLOCK_BITS`` buckets.
+
+    A broadcast is collected and hashed in the driver: a row for each bucket
+    takes several times the memory of its numbers there. Buckets without a row
+    have the default, as have blocks without one.
+    """
+    slot = F.col("known").bitwiseAND((1 << BLOCK_BITS) - 1).alias("slot")
+    found = weights.select(F.shiftright("known", BLOCK_BITS).alias("block"), slot, *[f"w{k}" for k in range(len(defaults))])
+    by_slot = lambda k: F.map_from_entries(F.collect_list(F.struct("slot", f"w{k}"))).alias(f"w{k}")
+    maps = found.groupBy("block").agg(*[by_slot(k) for k in range(len(defaults))])
+    slots = F.expr(f"sequence(0L, {(1 << BLOCK_BITS) - 1}L)")
+
+    def dense(k: int) -> Column:
+        return F.transform(slots, lambda i: F.coalesce(F.element_at(f"w{k}", i), F.lit(defaults[k]))).alias(f"w{k}")
+
+    return maps.select("block", *[dense(k) for k in range(len(defaults))])
 
 
 def memberships(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), domains=DOMAINS) -> DataFrame:
@@ -99,8 +119,10 @@ def memberships(docs: DataFrame, labels: DataFrame, settings: Settings = Setting
     tokens = rows.select("row", "doc_id", "text_hash", word).select(
         "row", "doc_id", "text_hash", F.when(F.col("word").isNotNull(), bucket).alias("bucket")
     )
-    known = tokens.join(F.broadcast(weights), F.col("bucket") == F.col("known"), "left")
-    score = lambda k: F.when(F.col("bucket").isNotNull(), F.coalesce(f"w{k}", F.lit(defaults[k]))).otherwise(0.0)
+    known = tokens.join(F.broadcast(weights), F.shiftright("bucket", BLOCK_BITS) == F.col("block"), "left")
+    slot = F.col("bucket").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+    weight = lambda k: F.coalesce(F.get(f"w{k}", slot), F.lit(defaults[k]))
+    score = lambda k: F.when(F.col("bucket").isNotNull(), weight(k)).otherwise(0.0)
     summed = known.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("text_hash").alias("text_hash"),
