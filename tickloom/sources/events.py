@@ -10,15 +10,18 @@ message grows with the data.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.params import state_width
+from tickloom.workspace import children, make_folder, moved
+
 # The mapping that the oracle SQL repeats.
 POLL_SECONDS = 1800
 LAG_DAYS = 10
 LAG = f"{LAG_DAYS} days"
 PRODUCTS = 5
+# Events that one task turns into records, at most; more tasks come in whole rounds of the cores.
+FILE_ROWS = 1_000_000
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,21 @@ def trade(raw_numbers: bool = False, blank_sizes: bool = False) -> Column:
     )
 
 
+def deliveries(events: DataFrame, poll_seconds: int | None = POLL_SECONDS) -> DataFrame:
+    """Events with the polls that deliver them, and the ``wave`` each of these arrives in.
+
+    ``nth`` is 0 for the first ``poll`` and 1 for the second.
+    """
+    again = F.col("event_id") % 3 == 0
+    first = poll_time(poll_seconds)
+    delayed = (F.col("event_id") % 6 == 1).cast("bigint")
+    return (
+        events.select("*", F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("nth"))
+        .withColumn("poll", F.when(F.col("nth") == 0, first).otherwise(first + F.expr(f"interval {LAG}")))
+        .withColumn("wave", F.floor(F.unix_date(F.col("poll").cast("date")) / LAG_DAYS) + delayed)
+    )
+
+
 def event_records(
     events: DataFrame,
     poll_seconds: int | None = POLL_SECONDS,
@@ -81,14 +99,18 @@ def event_records(
     ``enveloped`` keeps the poll response around the trades; ``broken_errors``
     replaces the payload of errors by text that is not JSON.
     """
-    again = F.col("event_id") % 3 == 0
-    deliveries = F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    first = poll_time(poll_seconds)
     # Only what a wave is found by comes before its filter; trades are built after that.
-    delivered = events.select("*", F.explode(deliveries).alias("nth")).withColumn(
-        "poll", F.when(F.col("nth") == 0, first).otherwise(first + F.expr(f"interval {LAG}"))
-    )
+    return _records(deliveries(events, poll_seconds), raw_numbers, blank_sizes, enveloped, broken_errors)
 
+
+def _records(
+    delivered: DataFrame,
+    raw_numbers: bool = False,
+    blank_sizes: bool = False,
+    enveloped: bool = False,
+    broken_errors: bool = False,
+) -> DataFrame:
+    """A topic record for each delivery."""
     twice = (F.col("nth") == 0) & (F.col("event_id") % 7 == 0)
     body = F.array_repeat(trade(raw_numbers, blank_sizes), F.when(twice, 2).otherwise(1))
     if enveloped:
@@ -96,7 +118,6 @@ def event_records(
     text = F.to_json(body)
     if broken_errors:
         text = F.when(F.col("event_type") == "error", "not json").otherwise(text)
-    delayed = (F.col("event_id") % 6 == 1).cast("bigint")
     return delivered.select(
         F.lit(None).cast("binary").alias("key"),
         text.cast("binary").alias("value"),
@@ -106,7 +127,7 @@ def event_records(
         F.col("poll").alias("timestamp"),
         F.lit(0).alias("timestampType"),
         F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
-        (F.floor(F.unix_date(F.col("poll").cast("date")) / LAG_DAYS) + delayed).alias("wave"),
+        "wave",
     )
 
 
@@ -114,21 +135,20 @@ def write_waves(spark: SparkSession, sf_dir: str, topic: str):
     """Write the records to ``topic`` wave by wave, yielding after each one.
 
     The caller runs its stream in between, so arrival order is known without
-    sorting: all of one wave comes before all of the next. Every wave is one
-    distributed write without a shuffle, over the stretch of events it needs.
+    sorting: all of one wave comes before all of the next. The events are read
+    once, however many waves they make, and dealt out evenly over the tasks:
+    where the table is in order of time a wave lies in few of its splits, whose
+    tasks, and those that read their files back, would work alone. The records
+    wait beside the topic; a wave arrives there by a rename of its folder.
     """
-    events = read_events(spark, sf_dir)
-    bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    if bounds["low"] is None:
-        return
-    epoch = datetime(1970, 1, 1)
-    lag = timedelta(days=LAG_DAYS)
-    for wave in range((bounds["low"] - epoch) // lag, (bounds["high"] - epoch) // lag + 2):
-        start = epoch + wave * lag
-        near = events.where(
-            (F.col("ts") >= F.lit(start - lag).cast("timestamp_ntz"))
-            & (F.col("ts") < F.lit(start + lag).cast("timestamp_ntz"))
-        )
-        records = event_records(near).where(F.col("wave") == wave).drop("wave")
-        records.write.parquet(f"{topic}/wave-{wave}")
+    events, waiting = read_events(spark, sf_dir), f"{topic}-waiting"
+    dealt = events.repartition(state_width(spark, events.count(), FILE_ROWS), "event_id")
+    delivered = deliveries(dealt).where(F.col("wave").isNotNull())
+    # In order of waves before the trades are built, so that the write need not sort those.
+    _records(delivered.sortWithinPartitions("wave")).write.partitionBy("wave").parquet(waiting)
+    make_folder(spark, topic)
+    names = [name for name in children(spark, waiting) if name.startswith("wave=")]
+    for wave in sorted(int(name.partition("=")[2]) for name in names):
+        if not moved(spark, f"{waiting}/wave={wave}", f"{topic}/wave-{wave}"):
+            raise RuntimeError(f"wave {wave} has arrived before")
         yield wave
