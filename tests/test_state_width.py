@@ -25,3 +25,11 @@ def test_a_replay_does_not_take_the_width_of_batches(spark):
     before = set(glob.glob(pattern))
     assert registry.speed_layer_append(wide, SF_DIR).count() > 0
     assert 0 < len(set(glob.glob(pattern)) - before) <= spark.sparkContext.defaultParallelism
+
+
+def test_width_stays_at_the_cores_for_some_million_rows_each(spark):
+    """Before, every 1,000,000 events had a state partition, with its stores and files in every batch."""
+    cores, wide = spark.sparkContext.defaultParallelism, spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "200")
+    assert state_width(wide, 3_000_000 * cores) == cores
+    assert state_width(wide, 5_000_000 * cores) == 2 * cores

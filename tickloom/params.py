@@ -128,12 +128,12 @@ def session_settings(params: JobParams) -> dict[str, str]:
     return settings
 
 
-def state_width(spark: SparkSession, rows: int, rows_each: int = 1_000_000) -> int:
+def state_width(spark: SparkSession, rows: int, rows_each: int = 4_000_000) -> int:
     """State partitions of a stream that is to take ``rows`` rows in all.
 
-    Every state partition has a price in every batch: a store to open and to
-    commit for each stateful step, and files for each date it writes. So there
-    are no more than cores to work on them, or some multiple of that, so that no
+    Every state partition has a price in every batch, however few rows it gets: a
+    store to open and to commit for each stateful step, and files for each date it
+    writes. So there are no more than cores to work on them, or some multiple of that, so that no
     round leaves cores idle, if each would get more than ``rows_each`` rows; the session's shuffle width, made for batches whose
     partitions are merged while they run, is no measure of that.
     """
